@@ -13,7 +13,7 @@ below, where their smaller partners are. Sets of under SMALL members use the fin
 Rows that share a signature are never paired off blindly:
 1. equal sets are one node;
 2. each node is held against one hub only, the smallest node of most of its signatures, and joined to it
-   if their shingles really are similar enough;
+   if the two sets' bitmaps allow it (see 3) and their shingles really are similar enough;
 3. signatures that still hold nodes of different components are worked off in blocks of bounded
    size. A pair of nodes passes if the parity bitmaps of the two sets, whose distance never exceeds the
    sets' own, allow the similarity; only pairs that pass leave the block, and are held against
@@ -113,7 +113,7 @@ def signatures(s: np.ndarray, finest_for: frozenset[int] = frozenset(), percent:
 
 def bitmap(s: np.ndarray) -> bytes:
     """One bit for each value of the hash's low bits: whether an odd number of members has it."""
-    bits = 4 * (SMALL << max(0, band(len(s))))
+    bits = 2 * (SMALL << max(0, band(len(s))))
     odd = np.bincount((s & _U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -258,6 +258,29 @@ def _blocks(percent: int):
     return run
 
 
+def _allowed(percent: int):
+    """The pairs whose sizes and bitmaps allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, (n, m, x, y) in enumerate(zip(*(batch[c].to_pylist() for c in ("a_n", "b_n", "a_bits", "b_bits")), strict=True)):
+                if 100 * min(n, m) >= percent * max(n, m):
+                    size = min(len(x), len(y))
+                    apart = int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum(dtype=np.int64))
+                    if apart * (100 + percent) <= (n + m) * (100 - percent):
+                        keep.append(i)
+            yield pa.RecordBatch.from_arrays([batch[c].take(pa.array(keep, pa.int64())) for c in ("a", "b")], names=["a", "b"])
+
+    return run
+
+
+def allowed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are worth holding against each other: their texts needn't move otherwise."""
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(_allowed(percent), "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each edge's component.
 
@@ -295,7 +318,8 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     texts = cut(found.mapInArrow(_with_bitmaps(width), "node long, n long, text string, bits binary"), "texts")
 
     hubs = shared.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.min_by("hub", F.struct((-F.col("c")).alias("c"), "hub")).alias("hub"))
-    first = components(similar(hubs.select(F.col("hub").alias("a"), F.col("node").alias("b")), texts, width, percent))
+    hopeful = cut(allowed(hubs.select(F.col("hub").alias("a"), F.col("node").alias("b")), texts, percent), "hubs")
+    first = components(similar(hopeful, texts, width, percent))
 
     # Signatures whose nodes still are in different components.
     rooted = wanted.join(first, "node", "left").select("node", F.coalesce("root", "node").alias("comp"))
