@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treelens.plans import scan
+from treelens.plans import analogues, scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (scan,)
+MODULES = (scan, analogues)
 
 
 def queries() -> dict[str, Query]:
