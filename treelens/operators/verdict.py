@@ -34,7 +34,8 @@ def file_verdicts(findings: DataFrame, build_map: DataFrame, srcarch: str, confi
     def judge(raw, is_foreign):
         return condition.evaluate(raw, "arch/-/x" if is_foreign else "x", srcarch, config)
 
-    told = met.select("raw", "foreign").distinct().withColumn("j", judge("raw", "foreign"))
-    out = met.join(told, met.raw.eqNullSafe(told.raw) & (met.foreign == told.foreign))
-    severity = F.when(met.raw.isNotNull(), "").when(F.col("path").rlike(r"\.(c|S|s|rs)$"), "warning").otherwise("debug")
-    return out.select("rule_id", "path", "j.logic", met.raw.isNotNull().alias("mapped"), "j.affected", severity.alias("severity"))
+    told = met.select(F.col("raw").alias("t_raw"), F.col("foreign").alias("t_foreign")).distinct().withColumn("j", judge("t_raw", "t_foreign"))
+    out = met.join(told, F.col("raw").eqNullSafe(F.col("t_raw")) & (F.col("foreign") == F.col("t_foreign")))
+    mapped = F.col("raw").isNotNull()
+    severity = F.when(mapped, "").when(F.col("path").rlike(r"\.(c|S|s|rs)$"), "warning").otherwise("debug")
+    return out.select("rule_id", "path", "j.logic", mapped.alias("mapped"), "j.affected", severity.alias("severity"))
