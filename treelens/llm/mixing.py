@@ -29,6 +29,8 @@ from treelens.llm.common import WORD, cut, pick
 #: Weights in the order of the sources, repeating; times its size that a source may be taken.
 WEIGHTS, MAX_REPEATS = (5.0, 2.0, 1.0), 3
 MAX_SHARDS = 4096
+#: Sources up to which their plan, of some fifty bytes each, is sent to all executors; beyond, it is joined by shuffle.
+BROADCAST_SOURCES = 10_000
 
 
 def targets(sizes: list[int], weights: list[float], total: float | None = None, repeats: float = MAX_REPEATS) -> list[float]:
@@ -100,6 +102,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block_words: int
         [(r.skey, r.source_size, aim, min(n, MAX_REPEATS * r.source_size // block_words), min(MAX_SHARDS, max(1, math.ceil(r.n_docs / docs_each)))) for r, aim, n in zip(sources, aims, seats, strict=True)],
         "skey string, source_size long, target double, seats long, n_shards int",
     )
+    if len(sources) <= BROADCAST_SOURCES:  # a hot source's rows stay where they are
+        plan = F.broadcast(plan)
     dealt = slim.join(plan, "skey").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("n_shards")).cast("int"))
     per_shard = dealt.groupBy("skey", "shard").agg(F.sum("size").alias("shard_size"), F.max("seats").alias("seats"))
     quotas = per_shard.groupBy("skey").applyInPandas(_quotas_of_shards, "skey string, shard int, shard_size long, quota long")
