@@ -15,7 +15,7 @@ from array import array
 import numpy as np
 
 #: Bytes of text that are worked on at once; the pieces remembered.
-CHUNK, MEMORY = 3 << 20, 400_000
+CHUNK, MEMORY = 2 << 20, 200_000
 _ODD = 0x9E3779B97F4A7C15
 _U64 = np.uint64
 
