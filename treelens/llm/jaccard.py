@@ -14,10 +14,11 @@ Rows that share a signature are never paired off blindly:
 1. equal sets are one node;
 2. each node is held against one hub only, the smallest node of most of its signatures, and joined to it
    if the two sets' bitmaps allow it (see 3) and their shingles really are similar enough;
-3. signatures that still hold nodes of different components are worked off in blocks of bounded
-   size. A pair of nodes passes if the parity bitmaps of the two sets, whose distance never exceeds the
-   sets' own, allow the similarity; only pairs that pass leave the block, and are held against
-   each other shingle by shingle.
+3. signatures with the same smallest node are one group, so a pair that shares many of them meets once
+   or a few times. Groups that still hold nodes of different components are worked off in blocks of
+   bounded size. A pair of nodes passes if the parity bitmaps of the two sets, whose distance never
+   exceeds the sets' own, allow the similarity; only pairs that pass leave the block, and are held
+   against each other shingle by shingle.
 So every similar pair is either joined or in one component already, and each join is exact.
 
 Shingles are told apart by 64-bit hashes, sets by 64-bit sums of them.
@@ -41,7 +42,7 @@ from treelens.llm.common import cut, partitions, pick, small_batches
 from treelens.llm.tokens import _U64, mix
 
 WIDTH, PERCENT, SMALL = 5, 75, 64
-#: Nodes of a signature in one block; members of a hub that one task holds against it; nodes that a task remembers to have signed.
+#: Nodes of a group in one block; members of a hub that one task holds against it; nodes that a task remembers to have signed.
 BLOCK, HUB_ROWS, SIGNED = 1024, 256, 500_000
 FINEST = -1
 
@@ -173,7 +174,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.flatnonzero(~starts & other)
         sig, node, hub = s[-1], v[-1], hubs[-1]
         if len(out):
-            yield pa.RecordBatch.from_arrays([pa.array(s[out]), pa.array(v[out]), pa.array(hubs[out])], names=["sig", "node", "hub"])
+            yield pa.RecordBatch.from_arrays([pa.array(v[out]), pa.array(hubs[out])], names=["node", "hub"])
 
 
 def _with_bitmaps(width: int):
@@ -218,7 +219,7 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
 
 
 def _blocks(percent: int):
-    """Rows come by signature and pair of blocks: the pairs of nodes of different components whose sizes and bitmaps allow the similarity."""
+    """Rows come by group and pair of blocks: the pairs of nodes of different components whose sizes and bitmaps allow the similarity."""
 
     def passing(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         size = min(len(r[4]) for r in rows)
@@ -240,7 +241,7 @@ def _blocks(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
-        names = ["sig", "low", "high", "block", "node", "comp", "n", "bits"]
+        names = ["hub", "low", "high", "block", "node", "comp", "n", "bits"]
         for batch in batches:
             out = []
             for *at, block, node, comp, n, bits in zip(*(batch[c].to_pylist() for c in names), strict=True):
@@ -308,7 +309,8 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     finest_for = frozenset(b + i for b in bad for i in (-1, 0, 1))
 
     signed = rows.select("text").mapInArrow(_sign(width, percent, finest_for), "sig long, node long")
-    shared = cut(signed.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long, hub long"), "shared")
+    meet = signed.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "node long, hub long")
+    shared = cut(meet.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c")), "shared")
 
     # Texts and bitmaps of the nodes that share a signature, one row each.
     wanted = shared.select("node").union(shared.select("hub")).distinct()
@@ -317,19 +319,21 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     found = rows.join(place, rows.doc_id.eqNullSafe(place.p_doc) & (rows.th == place.p_th)).dropDuplicates(["doc_id", "th"]).select("node", "n", "text")
     texts = cut(found.mapInArrow(_with_bitmaps(width), "node long, n long, text string, bits binary"), "texts")
 
-    hubs = shared.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.min_by("hub", F.struct((-F.col("c")).alias("c"), "hub")).alias("hub"))
+    hubs = shared.groupBy("node").agg(F.min_by("hub", F.struct((-F.col("c")).alias("c"), "hub")).alias("hub"))
     hopeful = cut(allowed(hubs.select(F.col("hub").alias("a"), F.col("node").alias("b")), texts, percent), "hubs")
     first = components(similar(hopeful, texts, width, percent))
 
-    # Signatures whose nodes still are in different components.
+    # Groups whose nodes still are in different components.
     rooted = wanted.join(first, "node", "left").select("node", F.coalesce("root", "node").alias("comp"))
     rooted = cut(rooted, "rooted")
-    every = shared.select("sig", "node").union(shared.select("sig", F.col("hub").alias("node")).distinct()).join(rooted, "node")
-    open_ = every.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("n_blocks"))
-    left = every.join(open_, "sig").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+    own = rooted.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
+    every = shared.select("hub", "node").join(rooted, "node")
+    open_ = every.groupBy("hub").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).join(own, "hub").where("x < y or x <> hub_comp").select("hub", "hub_comp", F.ceil((F.col("m") + 1) / BLOCK).cast("int").alias("n_blocks"))
+    left = every.join(open_.select("hub", "n_blocks"), "hub").unionByName(open_.select("hub", F.col("hub").alias("node"), F.col("hub_comp").alias("comp"), "n_blocks"))
+    left = left.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     left = left.join(texts.select("node", "n", "bits"), "node")
-    dealt = left.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("sig", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "node", "comp", "n", "bits")
-    dealt = dealt.repartition(partitions(spark), "sig", "low", "high").sortWithinPartitions("sig", "low", "high")
+    dealt = left.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("hub", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "node", "comp", "n", "bits")
+    dealt = dealt.repartition(partitions(spark), "hub", "low", "high").sortWithinPartitions("hub", "low", "high")
     pairs = cut(dealt.mapInArrow(_blocks(percent), "a long, b long").distinct(), "pairs")
     more = similar(pairs, texts, width, percent)
     # Components of components.
