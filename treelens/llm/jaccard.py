@@ -18,7 +18,8 @@ Rows that share a signature are never paired off blindly:
    or a few times. Groups that still hold nodes of different components are worked off in blocks of
    bounded size. A pair of nodes passes if the parity bitmaps of the two sets, whose distance never
    exceeds the sets' own, allow the similarity; only pairs that pass leave the block, and are held
-   against each other shingle by shingle.
+   against each other shingle by shingle. In a first round only the best pair of each node leaves a
+   block, no more pairs than nodes, which joins most of what belongs together; in the second all do.
 So every similar pair is either joined or in one component already, and each join is exact.
 
 Shingles are told apart by 64-bit hashes, sets by 64-bit sums of them.
@@ -218,8 +219,8 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return rows.select("a", "first", "b", "text").mapInArrow(_held(width, percent), "a long, b long")
 
 
-def _blocks(percent: int):
-    """Rows come by group and pair of blocks: the pairs of nodes of different components whose sizes and bitmaps allow the similarity."""
+def _blocks(percent: int, best: bool):
+    """Rows come by group and pair of blocks: the pairs of nodes of different components whose sizes and bitmaps allow the similarity; if best, one pair a node, whose bitmaps differ least."""
 
     def passing(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         size = min(len(r[4]) for r in rows)
@@ -233,7 +234,10 @@ def _blocks(percent: int):
             j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
             if len(j):
                 apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                j = j[apart * (100 + percent) <= (n[j] + n[i]) * (100 - percent)]
+                ok = apart * (100 + percent) <= (n[j] + n[i]) * (100 - percent)
+                if best and ok.any():
+                    ok = np.array([np.where(ok, apart / (n[j] + n[i]), 2).argmin()])
+                j = j[ok]
                 a += [node[i]] * len(j)
                 b += node[j].tolist()
         a, b = np.array(a, np.int64), np.array(b, np.int64)
@@ -299,6 +303,24 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.select("node", "root")
 
 
+def regroup(shared: DataFrame, rooted: DataFrame, texts: DataFrame, best: bool, width: int, percent: int) -> DataFrame:
+    """(node, comp) with those components joined that similar nodes of one group link: by all such links, or by each node's best."""
+    own = rooted.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
+    every = shared.select("hub", "node").join(rooted, "node")
+    open_ = every.groupBy("hub").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).join(own, "hub").where("x < y or x <> hub_comp").select("hub", "hub_comp", F.ceil((F.col("m") + 1) / BLOCK).cast("int").alias("n_blocks"))
+    left = every.join(open_.select("hub", "n_blocks"), "hub").unionByName(open_.select("hub", F.col("hub").alias("node"), F.col("hub_comp").alias("comp"), "n_blocks"))
+    left = left.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+    left = left.join(texts.select("node", "n", "bits"), "node")
+    dealt = left.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("hub", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "node", "comp", "n", "bits")
+    dealt = dealt.repartition(partitions(rooted.sparkSession), "hub", "low", "high").sortWithinPartitions("hub", "low", "high")
+    pairs = cut(dealt.mapInArrow(_blocks(percent, best), "a long, b long").distinct(), "pairs")
+    more = similar(pairs, texts, width, percent)
+    # Components of components.
+    to = lambda x: rooted.select(F.col("node").alias(x), F.col("comp").alias(f"{x}_comp"))
+    merged = components(more.join(to("a"), "a").join(to("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
+    return cut(rooted.join(merged.toDF("comp", "root"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "rooted")
+
+
 def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, th (a hash of the text), n_shingles, component_id of every row."""
     spark = docs.sparkSession
@@ -326,20 +348,8 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     # Groups whose nodes still are in different components.
     rooted = wanted.join(first, "node", "left").select("node", F.coalesce("root", "node").alias("comp"))
     rooted = cut(rooted, "rooted")
-    own = rooted.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
-    every = shared.select("hub", "node").join(rooted, "node")
-    open_ = every.groupBy("hub").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).join(own, "hub").where("x < y or x <> hub_comp").select("hub", "hub_comp", F.ceil((F.col("m") + 1) / BLOCK).cast("int").alias("n_blocks"))
-    left = every.join(open_.select("hub", "n_blocks"), "hub").unionByName(open_.select("hub", F.col("hub").alias("node"), F.col("hub_comp").alias("comp"), "n_blocks"))
-    left = left.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
-    left = left.join(texts.select("node", "n", "bits"), "node")
-    dealt = left.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("hub", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "node", "comp", "n", "bits")
-    dealt = dealt.repartition(partitions(spark), "hub", "low", "high").sortWithinPartitions("hub", "low", "high")
-    pairs = cut(dealt.mapInArrow(_blocks(percent), "a long, b long").distinct(), "pairs")
-    more = similar(pairs, texts, width, percent)
-    # Components of components.
-    to = lambda x: rooted.select(F.col("node").alias(x), F.col("comp").alias(f"{x}_comp"))
-    merged = components(more.join(to("a"), "a").join(to("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
-    roots = rooted.join(merged.toDF("comp", "root"), "comp", "left").select("node", F.coalesce("root", "comp").alias("root"))
+    rooted = regroup(shared, rooted, texts, True, width, percent)
+    roots = regroup(shared, rooted, texts, False, width, percent).withColumnRenamed("comp", "root")
 
     low = ids.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low")
     low = cut(low, "roots")
