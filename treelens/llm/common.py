@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_folder: list[str] = []
 
 
@@ -41,10 +42,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, what: str = "table") -> DataFrame:
-    """Write df to the shared folder and read it back: what follows neither recomputes it nor needs the executors that made it."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to the shared folder and read it back: what follows neither recomputes it nor needs the executors that made it.
+
+    Nothing reads the shuffles of the writing again, so they go when it ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    was = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
