@@ -155,6 +155,15 @@ def test_jaccard(spark, docs):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def test_components_of_long_paths(spark, monkeypatch):
+    rounds, cut = [], jaccard.cut
+    monkeypatch.setattr(jaccard, "cut", lambda df, what="table": rounds.append(what) or cut(df, what))
+    ids = random.Random(5).sample(range(10**9), 200)
+    got = jaccard.components(spark.createDataFrame(list(itertools.pairwise(ids)), "a long, b long")).collect()
+    assert {r.node: r.root for r in got} == dict.fromkeys(ids, min(ids))
+    assert rounds.count("labels") <= 12
+
+
 def test_signatures_lose_no_pair():
     rng = np.random.default_rng(7)
     draw = lambda n: np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))

@@ -289,8 +289,9 @@ def allowed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each edge's component.
 
-    Each round takes the least label among neighbours, then the label of that label, so paths halve
-    and the rounds grow with the logarithm of the longest path.
+    Each round every node takes the least label among its neighbours, then what that label leads to: the
+    label's own label, or the least that any node of the same label has met. So paths halve, and a whole
+    region moves as soon as its border meets a smaller label.
     """
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"), F.lit(True).alias("moved")), "labels")
@@ -298,7 +299,8 @@ def components(edges: DataFrame) -> DataFrame:
         old = labels.select("node", "root")
         around = both.join(old.toDF("b", "near"), "b").groupBy("a").agg(F.min("near").alias("near"))
         step = old.join(around.withColumnRenamed("a", "node"), "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        jumped = step.join(old.toDF("root", "next"), "root").select("node", F.least("root", "next").alias("root"), "was")
+        leads = old.toDF("root", "next").unionByName(step.select(F.col("was").alias("root"), F.col("root").alias("next"))).groupBy("root").agg(F.min("next").alias("next"))
+        jumped = step.join(leads, "root").select("node", F.least("root", "next").alias("root"), "was")
         labels = cut(jumped.select("node", "root", (F.col("root") < F.col("was")).alias("moved")), "labels")
     return labels.select("node", "root")
 
