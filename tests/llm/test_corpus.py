@@ -119,6 +119,35 @@ def test_line_dedup(spark):
     assert all(r.n_lines_removed == 0 for r in line_dedup.dedup_lines(copies).where("doc_id = 1").collect())
 
 
+def test_line_dedup_takes_whole_passages(spark):
+    """Every later copy of two lines or more goes, whatever stands around it."""
+    rng = random.Random(11)
+    passages = [[f"passage {p} line {j} {rng.random()}" for j in range(n)] for p, n in enumerate((2, 2, 3, 4, 6, 8))]
+    rows = []
+    for i in range(60):
+        lines = []
+        for k in range(rng.randrange(1, 5)):
+            lines += [f"own {i} {k} {j}" for j in range(rng.randrange(0, 3))] + rng.choice(passages)[rng.randrange(2) :]
+        rows.append((i, "\n".join(lines)))
+    rows += [(90, rows[5][1]), (91, rows[7][1]), (92, "a\na\na"), (93, "b\nb\nb\nb"), (94, "x\n\ny"), (95, "alone"), (96, "alone"), (97, None)]
+    first, want = {}, {}
+    for i, text in rows:
+        lines = (text or "").split("\n")
+        gone = set()
+        for at, pair in enumerate(itertools.pairwise(lines)):
+            d, a = first.setdefault(pair, (i, at))
+            if d != i or at >= a + 2:
+                gone |= {at, at + 1}
+        want[i] = (None if text is None else "\n".join(x for at, x in enumerate(lines) if at not in gone), len(gone), len(gone - {x + 1 for x in gone}))
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.text, r.n_lines_removed, r.n_chunks_removed) for r in got} == want
+    assert want[90][0] == want[91][0] == "" and want[92][1] == 0 and want[93][0] == "b\nb"
+    for p in passages:  # every line stays somewhere, and no copy of two lines is left
+        assert all(any(x in (t or "").split("\n") for t, _, _ in want.values()) for x in p[1:])
+    left = Counter(pair for t, _, _ in want.values() for pair in itertools.pairwise((t or "").split("\n")) if any(list(pair) == p[j : j + 2] for p in passages for j in range(len(p))))
+    assert max(left.values()) == 1
+
+
 def sets_of(text):
     w = re.findall(WORDS, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}

@@ -1,18 +1,22 @@
-"""Line dedup by content-defined chunks of lines.
-
-A rolling hash over the hashes of the last lines chooses where a chunk ends, so a passage is cut
-alike wherever it stands, whatever comes before it. Chunks of several lines whose hash occurs at
-two places or more are candidates; they count as repeated only if their bytes are equal. The first
-place (smallest doc_id, then place in the text) keeps the chunk, the others lose its lines.
-
-DataFrame functions only. Slim rows of (document, chunk, hash) find the candidates; texts are
-shuffled once, to meet their list of candidate chunks, and the chunks' bytes are compared by
+"""Line dedup by the hashes of every two neighbouring lines.
+
+Any passage of two lines or more is a run of such pairs, so a passage that stands elsewhere before
+is found whole wherever it begins, whatever stands around it, and without boundaries to be chosen.
+Pairs whose hash occurs at two places or more are candidates; they count as repeated only if their
+bytes are equal. The first place (smallest doc_id, then place in the text) keeps a pair, the others
+lose its lines; a pair that overlaps the first place in its own text isn't a repeat. So of a passage
+each line stays at its first place, and every later copy of two lines or more goes whole, even if
+its last lines and the line after them are the first place of another passage.
+
+DataFrame functions only. Slim rows of (document, place, hash) find the candidates; texts are
+shuffled once, to meet their list of candidate pairs, and the pairs' bytes are compared by
 partial minimum and maximum, so no group of copies gathers anywhere.
 
 Defined results: rows equal in doc_id and text are one document, and each gets the same cleaned text;
-null doc_ids come last; a null text stays null and has no lines; blank lines are lines; a chunk whose
-hash is shared by different bytes is left alone; a document may lose all its lines and then has an
-empty text; an empty table gives no rows; other columns aren't read.
+null doc_ids come last; a null text stays null and has no lines; blank lines are lines; a single line
+that is repeated without a neighbour stays; a pair whose hash is shared by different bytes is left alone;
+a document may lose all its lines and then has an empty text; a chunk removed is a run of lines removed;
+an empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -22,10 +26,9 @@ from pyspark.sql import functions as F
 
 from treelens.llm.common import cut, pick
 
-#: Lines that the rolling hash sees; one place in so many ends a chunk; lines that a chunk to be removed has at least.
-ROLLING, DIVISOR, MIN_LINES = 2, 3, 2
-_PRIME, _BASE = 2147483647, 48271
-_LOW = (1 << 32) - 1
+#: Lines of a window that is held against the others: the shortest passage that goes.
+MIN_LINES = 2
+_NONE = "array<struct<at:int,h:bigint,again:boolean>>"
 
 
 def _bind(value: Column, body) -> Column:
@@ -33,56 +36,42 @@ def _bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _with_chunks(text: Column, body) -> Column:
-    """body(lines, codes): the text's lines, and its chunks as first line << 32 | lines."""
-
-    def ends_before(h: Column, i: Column) -> Column:
-        rolled = F.lit(0).cast("long")
-        for back in range(ROLLING, 0, -1):  # at most (2**31)**2 / 2 before each modulus
-            rolled = F.pmod(rolled * _BASE + F.pmod(F.coalesce(F.get(h, i - back), F.lit(0)), F.lit(_PRIME)), F.lit(_PRIME))
-        return F.pmod(F.xxhash64(rolled), F.lit(DIVISOR)) == 0
-
-    def codes(lines: Column) -> Column:
-        starts = _bind(F.transform(lines, lambda x: F.xxhash64(x)), lambda h: F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | ends_before(h, i)))
-        return _bind(starts, lambda s: F.transform(s, lambda a, j: F.shiftleft(a.cast("long"), 32) + (F.coalesce(F.get(s, j + 1), F.size(lines)) - a)))
-
-    return _bind(F.split(text, "\n", -1), lambda lines: _bind(codes(lines), lambda c: body(lines, c)))
-
-
-def _lines_of(lines: Column, code: Column) -> Column:
-    return F.slice(lines, F.shiftright(code, 32).cast("int") + 1, code.bitwiseAND(F.lit(_LOW)).cast("int"))
+def _with_lines(text: Column, body) -> Column:
+    return _bind(F.split(text, "\n", -1), body)
 
 
-def _several(codes: Column) -> Column:
-    return F.filter(codes, lambda c: c.bitwiseAND(F.lit(_LOW)) >= MIN_LINES)
+def _pairs(lines: Column) -> Column:
+    """(at, h) of every MIN_LINES neighbouring lines."""
+    places = F.when(F.size(lines) >= MIN_LINES, F.sequence(F.lit(0), F.size(lines) - MIN_LINES)).otherwise(F.array().cast("array<int>"))
+    return _bind(F.transform(lines, lambda x: F.xxhash64(x)), lambda h: F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.get(h, i + k) for k in range(MIN_LINES)]).alias("h"))))
 
 
 def dedup_lines(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text without repeated chunks, n_lines, n_lines_removed, n_chunks_removed; ``keep`` carries further columns."""
+    """doc_id, text without repeated passages, n_lines, n_lines_removed, n_chunks_removed; ``keep`` carries further columns."""
     rows = pick(docs, "doc_id", "text", *keep).withColumn("th", F.xxhash64("text"))
-    chunks = _with_chunks(F.col("text"), lambda lines, codes: F.transform(_several(codes), lambda c: F.struct(c.alias("code"), F.xxhash64(F.array_join(_lines_of(lines, c), "\n")).alias("h"))))
-    slim = cut(rows.select("doc_id", "th", F.explode(chunks).alias("c")).select("doc_id", "th", "c.code", "c.h"), "chunks")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "code")
+    slim = cut(rows.select("doc_id", "th", F.explode(_with_lines(F.col("text"), _pairs)).alias("c")).select("doc_id", "th", "c.at", "c.h"), "pairs")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "at")
     groups = slim.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
-    candidates = slim.join(groups.select("h", "first"), "h").groupBy("doc_id", "th").agg(F.collect_set(F.struct("code", "h", (F.col("first") != place).alias("again"))).alias("cand"))
+    overlaps = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")) & (F.col("at") < F.col("first.at") + MIN_LINES)
+    candidates = slim.join(groups.select("h", "first"), "h").groupBy("doc_id", "th").agg(F.collect_set(F.struct("at", "h", (~overlaps).alias("again"))).alias("cand"))
     met = rows.join(candidates, rows.doc_id.eqNullSafe(candidates.doc_id) & (rows.th == candidates.th), "left").select(rows.doc_id, rows.th, "text", *keep, "cand")
     met = cut(met, "candidates")
-    texts = _with_chunks(F.col("text"), lambda lines, _: F.transform("cand", lambda c: F.struct(c["h"].alias("h"), F.array_join(_lines_of(lines, c["code"]), "\n").alias("bytes"))))
+    texts = _with_lines(F.col("text"), lambda lines: F.transform("cand", lambda c: F.struct(c["h"].alias("h"), F.array_join(F.slice(lines, c["at"] + 1, MIN_LINES), "\n").alias("bytes"))))
     compared = met.where("cand is not null").select(F.explode(texts).alias("c")).select("c.h", "c.bytes")
     differ = cut(compared.groupBy("h").agg(F.min("bytes").alias("a"), F.max("bytes").alias("b")).where("a != b").select("h"), "differ")
-    again = F.transform(F.filter(F.coalesce("cand", F.array().cast("array<struct<code:bigint,h:bigint,again:boolean>>")), lambda c: c["again"]), lambda c: c["code"])
+    again = F.transform(F.filter(F.coalesce("cand", F.array().cast(_NONE)), lambda c: c["again"]), lambda c: c["at"])
     if differ.isEmpty():
         marked = met.withColumn("drop", again)
-    else:  # hashes that different chunks share: their chunks stay
-        stay = slim.join(differ, "h", "left_semi").groupBy("doc_id", "th").agg(F.collect_set("code").alias("stay"))
-        marked = met.join(stay, met.doc_id.eqNullSafe(stay.doc_id) & (met.th == stay.th), "left").select(met.doc_id, met.th, "text", *keep, "cand", F.array_except(again, F.coalesce("stay", F.array().cast("array<bigint>"))).alias("drop"))
-    left = _with_chunks(F.col("text"), lambda lines, codes: F.flatten(F.transform(F.array_except(codes, F.col("drop")), lambda c: _lines_of(lines, c))))
-    removed = F.aggregate("drop", F.lit(0).cast("long"), lambda a, c: a + c.bitwiseAND(F.lit(_LOW)))
+    else:  # hashes that different pairs share: their pairs stay
+        stay = slim.join(differ, "h", "left_semi").groupBy("doc_id", "th").agg(F.collect_set("at").alias("stay"))
+        marked = met.join(stay, met.doc_id.eqNullSafe(stay.doc_id) & (met.th == stay.th), "left").select(met.doc_id, met.th, "text", *keep, "cand", F.array_except(again, F.coalesce("stay", F.array().cast("array<int>"))).alias("drop"))
+    marked = marked.withColumn("gone", F.array_distinct(F.flatten(F.transform("drop", lambda i: F.array(*[i + k for k in range(MIN_LINES)])))))
+    left = _with_lines(F.col("text"), lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.get(lines, i)))
     return marked.select(
         "doc_id",
-        F.when(F.size("drop") == 0, F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"),
+        F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"),
         F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"),
-        removed.alias("n_lines_removed"),
-        F.size("drop").cast("long").alias("n_chunks_removed"),
+        F.size("gone").cast("long").alias("n_lines_removed"),
+        F.size(F.array_except("gone", F.transform("gone", lambda i: i + 1))).cast("long").alias("n_chunks_removed"),
         *keep,
     )
