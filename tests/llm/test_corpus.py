@@ -294,6 +294,13 @@ def test_secrets(docs, odd):
     assert not secrets.guess_spans("password: password123456")
 
 
+def test_secrets_without_digits():
+    spans = lambda t: [t[a:b] for a, _, b in secrets.guess_spans(t)]
+    assert spans("password: xK!vQ#zR@tL%wN") == ["xK!vQ#zR@tL%wN"]
+    assert spans("secret = qXvTzLwNbRkPd") == ["qXvTzLwNbRkPd"]
+    assert spans("the token generation and Password Authentication, secret 中文中文中文中文") == []
+
+
 def test_fingerprints(docs):
     rows = {r.doc_id: r for r in fingerprints.edited_fingerprints(docs).collect()}
     texts = {r.doc_id: r.text for r in docs.collect()}

@@ -108,6 +108,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _prose(value: str) -> bool:
+    """A word of letters alone, of which at most the first is a capital."""
+    return value.isalpha() and value[1:] == value[1:].lower()
+
+
 def guess_spans(text: str, min_guesses: float = MIN_GUESSES) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the values in a credential's context that are hard to guess."""
     if not _CUE.search(text):
@@ -115,8 +120,8 @@ def guess_spans(text: str, min_guesses: float = MIN_GUESSES) -> list[tuple[int,
     out = []
     for m in _CONTEXT.finditer(text):
         value = m[1].rstrip(".,;:!?)]}")
-        # Prose after the word "password" is letters alone; a secret has a digit or mixes its signs.
-        if len(value) >= 8 and any(c.isdigit() for c in value) and guess_cost(value) >= min_guesses:
+        # Prose after the word "password" is plain words; anything else is judged by its cost.
+        if len(value) >= 8 and not _prose(value) and guess_cost(value) >= min_guesses:
             out.append((m.start(1), 3, m.start(1) + len(value)))
     return out
 
