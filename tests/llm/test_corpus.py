@@ -301,6 +301,14 @@ def test_secrets_without_digits():
     assert spans("the token generation and Password Authentication, secret 中文中文中文中文") == []
 
 
+def test_secrets_after_two_cues():
+    spans = lambda t: [t[a:b] for a, _, b in secrets.guess_spans(t)]
+    assert spans("login password: x!7kQ2#vT") == ["x!7kQ2#vT"]
+    assert spans("the secret password: Xk!9#Lw2$Qz") == ["Xk!9#Lw2$Qz"]
+    assert spans("auth password = z#7!Qk9@Lw and login password:x!7kQ2#vT") == ["z#7!Qk9@Lw", "x!7kQ2#vT"]
+    assert spans("authorization: password is: k9$Zq2!pin=xTx8Lw#Q4z") == ["k9$Zq2!pin=xTx8Lw#Q4z"]
+
+
 def test_fingerprints(docs):
     rows = {r.doc_id: r for r in fingerprints.edited_fingerprints(docs).collect()}
     texts = {r.doc_id: r.text for r in docs.collect()}

@@ -28,8 +28,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24}")
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 6, 20, 24
-#: A credential's context and the value after it; a value needs so many characters and decimal digits of guesses.
-_CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|auth(?:orization)?|bearer|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|login)["']?(?:\x20+is)?\x20*(?:=>|:=|[:=]|\x20bearer\x20|\x20)\x20*["'`]?([^\s"'`<>]{8,})""", re.IGNORECASE | re.ASCII)
+#: A credential's context that a value follows, and the value; a value needs so many characters and decimal digits of guesses.
+_CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|auth(?:orization)?|bearer|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|login)["']?(?:\x20+is)?\x20*(?:=>|:=|[:=]|\x20bearer\x20|\x20)\x20*["'`]?(?=[^\s"'`<>]{8})""", re.IGNORECASE | re.ASCII)
+_VALUE = re.compile(r"""[^\s"'`<>]+""", re.ASCII)
 _CUE = re.compile(r"pass|pwd|pin|secret|token|credential|auth|bearer|key|login", re.IGNORECASE | re.ASCII)
 MIN_GUESSES = 10.0
 #: Words by how soon they are guessed.
@@ -117,12 +118,17 @@ def guess_spans(text: str, min_guesses: float = MIN_GUESSES) -> list[tuple[int,
     """(start, kind, end) of the values in a credential's context that are hard to guess."""
     if not _CUE.search(text):
         return []
-    out = []
+    out, end = [], 0
+    # The search goes on behind a cue, not behind what follows it: that may be a cue itself.
     for m in _CONTEXT.finditer(text):
-        value = m[1].rstrip(".,;:!?)]}")
+        at = m.end()
+        if at < end or _CONTEXT.match(text, at):
+            continue
+        value = _VALUE.match(text, at)[0].rstrip(".,;:!?)]}")
         # Prose after the word "password" is plain words; anything else is judged by its cost.
         if len(value) >= 8 and not _prose(value) and guess_cost(value) >= min_guesses:
-            out.append((m.start(1), 3, m.start(1) + len(value)))
+            end = at + len(value)
+            out.append((at, 3, end))
     return out
 
 
