@@ -130,3 +130,12 @@ def test_extremum(spark):
     candidates = spark.createDataFrame([("X", "a"), ("X", "b"), ("Y", "b"), ("Y", "c")], "cve string, sha string")
     assert [tuple(r) for r in metadata.extremum(candidates, parents, latest=True).collect()] == [("X", "b")]
     assert [tuple(r) for r in metadata.extremum(candidates, parents, latest=False).collect()] == [("X", "a")]
+
+
+def test_extremum_far_apart(spark):
+    """Candidates more than 1000 commits apart, on a line with merges and a side branch."""
+    line = [(f"n{i}", f"n{i + 1}") for i in range(1500)]
+    parents = spark.createDataFrame([*line, ("n700", "s0"), ("s0", "s1"), ("s1", "n900"), ("z", "n1200")], "sha string, parent string")
+    candidates = spark.createDataFrame([("X", "n1"), ("X", "n1400"), ("Y", "n1"), ("Y", "n800"), ("Y", "s1"), ("Z", "z"), ("Z", "n1"), ("Z", "n1300")], "cve string, sha string")
+    assert sorted(tuple(r) for r in metadata.extremum(candidates, parents, latest=True).collect()) == [("X", "n1"), ("Y", "n1")]
+    assert sorted(tuple(r) for r in metadata.extremum(candidates, parents, latest=False).collect()) == [("X", "n1400"), ("Z", "n1300")]

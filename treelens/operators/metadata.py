@@ -28,20 +28,40 @@ def merge(base: DataFrame, override: DataFrame, fields: list[str], key: str = "c
     return b.join(o, F.col(f"b.{key}") == F.col(f"o.{key}"), "full_outer").select(F.coalesce(f"o.{key}", f"b.{key}").alias(key), *[F.coalesce(f"o.{f}", f"b.{f}").alias(f) for f in fields])
 
 
-def extremum(candidates: DataFrame, parents: DataFrame, latest: bool, max_depth: int = 1000) -> DataFrame:
+def _contracted(sets: DataFrame, parents: DataFrame) -> DataFrame:
+    """(sha, parent) of candidates and merges alone, each parent followed down its line of single parents to the next of them or to a root.
+
+    What reaches what among the candidates stays. Lines are followed by doubling, so one of n commits takes log2(n) rounds.
+    """
+    wanted = sets.select("sha").distinct()
+    edges = parents.select("sha", "parent").distinct()
+    single = edges.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("to")).where("n = 1").join(wanted, "sha", "left_anti")
+    line, open_before = _cut(single.select("sha", "to")), None
+    while True:
+        ahead = line.select(F.col("sha").alias("to"), F.col("to").alias("further"))
+        open_now = line.join(ahead, "to", "left_semi").count()
+        if open_now in (0, open_before):  # as many as before: only a circle is left, which holds no candidate
+            break
+        line, open_before = _cut(line.join(ahead, "to", "left").select("sha", F.coalesce("further", "to").alias("to"))), open_now
+    ends = line.select(F.col("sha").alias("parent"), "to")
+    return _cut(edges.join(line, "sha", "left_anti").join(ends, "parent", "left").select("sha", F.coalesce("to", "parent").alias("parent")).distinct())
+
+
+def extremum(candidates: DataFrame, parents: DataFrame, latest: bool) -> DataFrame:
     """(cve, sha) of the one candidate that reaches all others of its cve (latest), or that all reach.
 
-    Only the candidates' own ancestors are followed, one level a round, until every frontier is empty.
+    Only the candidates' own ancestors are followed, one merge or candidate a round, until every frontier is empty.
     """
-    sets = candidates.distinct()
+    sets = _cut(candidates.distinct())
+    parents = _contracted(sets, parents)
     reach = sets.select("cve", F.col("sha").alias("top"), F.col("sha").alias("at"))
     seen = frontier = reach
-    for _ in range(max_depth):
+    while True:
         step = frontier.join(parents, F.col("at") == F.col("sha")).select("cve", "top", F.col("parent").alias("at")).distinct()
         frontier = _cut(step.join(seen, ["cve", "top", "at"], "left_anti"))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+        seen = _cut(seen.unionByName(frontier))
     pairs = seen.join(sets.withColumnRenamed("sha", "at"), ["cve", "at"])
     per = pairs.groupBy("cve", F.col("top" if latest else "at").alias("sha")).agg(F.countDistinct("at" if latest else "top").alias("n"))
     total = sets.groupBy("cve").agg(F.count(F.lit(1)).alias("total"))
@@ -50,8 +70,8 @@ def extremum(candidates: DataFrame, parents: DataFrame, latest: bool, max_depth:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Checkpointed where the session names a folder for it, so that rounds don't pile up in the plan."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") else df
+    """Checkpointed, so that rounds don't pile up in the plan: in the session's folder for it, or else on the executors."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") else df.localCheckpoint()
 
 
 def rejected(text: Column, prefixes: list[str], markers: list[str]) -> Column:
