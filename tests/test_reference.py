@@ -87,6 +87,21 @@ def test_structural_pair(spark):
     assert [tuple(r) for r in structural.scan(files, rules).collect()] == [("R", "a.c", 4)]
 
 
+def test_structural_disjunctions_scripts_and_all_matches():
+    text = "int f(void)\n{\n\tlock(a);\n\tuse(a);\n\tfree(a);\n\tuse(a);\n}\nint g(void)\n{\n\ttake(a);\n\tuse(a);\n}\n"
+    body = "@err exists@\nidentifier x;\nposition p;\n@@\n(\nlock(x);\n|\ntake(x);\n)\n...\n* use(x)@p;\n"
+    assert structural.matches(structural.parse(body), text) == [4, 6, 11]
+    once = "@err exists@\nidentifier x;\nposition p;\n@@\nf(...)\n{\n...\n* use(x)@p;\n...\n}\n"
+    assert structural.matches(structural.parse(once), text) == [4, 6]
+    script = "\n@script:python depends on detect@\np << {}.p;\n{}@@\n\ncoccilib.report.print_report(p[0], 'ERROR')\n"
+    assert structural.matches(structural.parse(once + script.format("err", "")), text) == [4, 6]
+    other = "\n@two@\nposition q;\n@@\nmissing()@q;\n"
+    assert structural.matches(structural.parse(once + other + script.format("err", "q << two.q;\n")), text) == []
+    for bad in (once + script.format("err", "").replace("coccilib", "if p[0].current_element == 'f': coccilib"), body.replace("\n)\n", "\n"), body.replace("(\nlock", "lock"), body.replace("position p;", "position p : script:python() { p[0].current_element == 'f' };")):
+        with pytest.raises(structural.UnsupportedRule):
+            structural.parse(bad)
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "rules/disputed").mkdir(parents=True)
     (tmp_path / "rules/CVE-2020-0001.grep").write_text("/// Files: a.c\tb.c\n/// Fix: abc\n/// Detect-To: def\n/// Version: 1.0.8\n// note\n\nfoo\\(\n")

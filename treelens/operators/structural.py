@@ -2,26 +2,33 @@
 
 A rule is ``@name depends on a && !b@ declarations @@ body``, repeated. A body is C tokens with metavariables,
 ``...`` for anything balanced, ``when != x`` for what may not stand in the gap before, ``\\( a \\| b \\)`` for
-alternatives, ``*`` for lines to report and ``@p`` for positions. A rule anchored by ``f(...) { }`` is
-matched in bodies of functions of that name. Matching is on token order, not on control flow, so it
+alternatives, also as lines that start with ``(``, ``|`` and ``)``, ``*`` for lines to report and ``@p`` for
+positions. A rule anchored by ``f(...) { }`` is matched in bodies of functions of that name; every match counts.
+A script that only prints reports is applied: if all rules that it binds match, and what it depends on, their
+lines are reported. Matching is on token order, not on control flow, so it
 approximates paths by text; what isn't listed here is refused, never silently not found.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 _C = re.compile(r"/\*.*?\*/|//[^\n]*|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|\w+|\.\.\.|->|\+\+|--|<<=|>>=|<<|>>|[-+*/%&|^!=<>]=|&&|\|\||\S", re.S)
-_REFUSED = re.compile(r"<\+?\.\.\.|\.\.\.\+?>|when (?:exists|forall|strict)|\bnever\b|\bdisable\b|initialize:|^[-+][^-+=]|#define", re.M)
+_REFUSED = re.compile(r"<\+?\.\.\.|\.\.\.\+?>|when (?:exists|forall|strict)|\bnever\b|\bdisable\b|(?:initialize|finalize|script):|^[-+][^-+=]|#define", re.M)
 _HEAD = re.compile(r"@\s*(\w*)\s*(?:depends on ([^@]*?))?\s*(?:exists)?\s*@(.*?)@@", re.S)
 _PAIRS = {"(": ")", "[": "]", "{": "}"}
 FINDINGS = "rule_id string, path string, line int"
 
 
+_SCRIPT = re.compile(r"^@\s*script:\s*python\s*\w*\s*(?:depends on ([^@]*?))?\s*@(.*?)@@(.*?)(?=\n@|\Z)", re.S | re.M)
+_REPORTS = re.compile(r"\s*(?:coccilib\.(?:report|org)\.print_\w+\([^\n]*\)\s*)*")
+
+
 class UnsupportedRule(ValueError):
     """A construct that this matcher doesn't have."""
 
@@ -78,13 +85,38 @@ class Node:
 
     def _items(self, body: str) -> list:
         out: list = []
+        depth, choices = 0, [[]]
         for raw in body.split("\n"):
+            # A disjunction's signs stand in the first column; what is inside is read when it closes.
+            if raw[:1] == "(" or (depth and raw[:1] in ("|", ")", "&")):
+                sign, raw = raw[0], raw[1:]
+                if sign == "&":
+                    raise UnsupportedRule("conjunction")
+                depth += (sign == "(") - (sign == ")")
+                if depth == 0:
+                    out.append(["any", [self._items("\n".join(x)) for x in choices]])
+                elif sign == "(" and depth == 1:
+                    choices = [[raw]]
+                    continue
+                elif sign == "|" and depth == 1:
+                    choices.append([raw])
+                    continue
+                else:
+                    choices[-1].append(sign + raw)
+                    continue
+            elif depth:
+                choices[-1].append(raw)
+                continue
+            elif raw[:1] in ("|", ")", "&"):
+                raise UnsupportedRule(f"{raw[0]} in the first column outside a disjunction")
             report = raw.startswith("*")
             line = (raw[1:] if report else raw).strip()
             if m := re.match(r"(?:\.\.\.\s*)?when\s+(.*)$", line):
                 if line.startswith("..."):
                     out.append(["gap", []])
-                gap = next(x for x in reversed(out) if x[0] == "gap")
+                gap = out[-1] if out else [""]
+                if gap[0] != "gap":
+                    raise UnsupportedRule(line)
                 if n := re.match(r"!=\s*(.*)$", m[1]):
                     gap[1].append([self._token(t) for t, _ in tokens(n[1])])
                 elif m[1].strip() != "any":
@@ -97,6 +129,8 @@ class Node:
                 out.append(["any", [self._plain(x, report) for x in m[1].split("\\|")]])
                 at = m.end()
             out += self._plain(line[at:], report)
+        if depth:
+            raise UnsupportedRule("a disjunction that doesn't close")
         return out
 
     def _plain(self, text: str, report: bool) -> list:
@@ -114,9 +148,23 @@ class Node:
         return None
 
 
-def parse(text: str) -> list[Node]:
+class Script:
+    """A script that reports: the rules that it binds, and what it depends on."""
+
+    def __init__(self, depends: str, bindings: str, code: str):
+        if not _REPORTS.fullmatch(code):
+            raise UnsupportedRule(code.strip())
+        names = [re.fullmatch(r"\w+\s*<<\s*(\w+)\.\w+", x.strip()) for x in bindings.split(";") if x.strip()]
+        if not all(names):
+            raise UnsupportedRule(bindings.strip())
+        self.depends, self.rules = (depends or "").strip(), [m[1] for m in names]
+
+
+def parse(text: str) -> list[Node | Script]:
     code = "\n".join(x for x in text.split("\n") if not x.lstrip().startswith("//"))
-    code = re.sub(r"@script:python[^@]*@.*?(?=\n@|\Z)", "", re.sub(r"virtual\s+\w+\s*;?", "", code), flags=re.S)
+    code = re.sub(r"virtual\s+\w+\s*;?", "", code)
+    scripts = [(m.start(), Script(m[1], m[2], m[3])) for m in _SCRIPT.finditer(code)]
+    code = _SCRIPT.sub(lambda m: " " * len(m[0]), code)
     if m := _REFUSED.search(code):
         raise UnsupportedRule(m[0])
     heads = list(_HEAD.finditer(code))
@@ -125,7 +173,7 @@ def parse(text: str) -> list[Node]:
     nodes = [Node(h[1], h[2], h[3], code[h.end() : heads[i + 1].start() if i + 1 < len(heads) else len(code)]) for i, h in enumerate(heads)]
     if any("." in n for node in nodes for n in node.kinds):
         raise UnsupportedRule("inherited metavariable")
-    return nodes
+    return [x for _, x in sorted([*scripts, *zip([h.start() for h in heads], nodes, strict=True)], key=lambda x: x[0])]
 
 
 def _same(want: tuple[str, str], toks, i: int, env: dict) -> Iterator[tuple[int, dict]]:
@@ -155,29 +203,48 @@ def _same(want: tuple[str, str], toks, i: int, env: dict) -> Iterator[tuple[int,
             yield j + 1, env | {name: [t for t, _ in toks[i : j + 1]]}
 
 
-def _match(items: list, k: int, toks, i: int, end: int, env: dict, lines: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
-    if k == len(items):
-        yield lines
-        return
-    item = items[k]
-    if item[0] == "tok":
-        for j, new in _same(item[1], toks, i, env):
-            if j <= end:
-                yield from _match(items, k + 1, toks, j, end, new, (*lines, toks[i][1]) if item[2] else lines)
-    elif item[0] == "any":
-        for choice in item[1]:
-            yield from _match(choice + items[k + 1 :], 0, toks, i, end, env, lines)
-    else:
-        depth = 0
-        for j in range(i, end + 1):
-            if not any(_here(x, toks, p, env) for x in item[1] for p in range(max(i, j - 1), j)):
-                yield from _match(items, k + 1, toks, j, end, env, lines)
-            else:
-                return
-            if j < end:
-                depth += (toks[j][0] in "([{") - (toks[j][0] in ")]}")
-                if depth < 0:
+class _Matcher:
+    """All matches of a rule in one file: what is left of a rule at a place is worked out once."""
+
+    def __init__(self, toks):
+        self.toks, self.known, self.joined = toks, {}, {}
+
+    def lines(self, items: list, k: int, i: int, end: int, env: dict) -> frozenset[int] | None:
+        """The reported lines of all matches of items from k at i; None if there is none."""
+        key = (id(items), k, i, end, tuple(sorted((n, tuple(v)) for n, v in env.items())))
+        if key not in self.known:
+            found = None
+            for more in self._each(items, k, i, end, env):
+                if more is not None:
+                    found = more if found is None else found | more
+            self.known[key] = found
+        return self.known[key]
+
+    def _each(self, items: list, k: int, i: int, end: int, env: dict) -> Iterator[frozenset[int] | None]:
+        toks = self.toks
+        if k == len(items):
+            yield frozenset()
+            return
+        item = items[k]
+        if item[0] == "tok":
+            for j, new in _same(item[1], toks, i, env):
+                if j <= end:
+                    more = self.lines(items, k + 1, j, end, new)
+                    yield more | {toks[i][1]} if more is not None and item[2] else more
+        elif item[0] == "any":
+            for n, choice in enumerate(item[1]):
+                rest = self.joined.setdefault((id(items), k, n), choice + items[k + 1 :])
+                yield self.lines(rest, 0, i, end, env)
+        else:
+            depth = 0
+            for j in range(i, end + 1):
+                if any(_here(x, toks, p, env) for x in item[1] for p in range(max(i, j - 1), j)):
                     return
+                yield self.lines(items, k + 1, j, end, env)
+                if j < end:
+                    depth += (toks[j][0] in "([{") - (toks[j][0] in ")]}")
+                    if depth < 0:
+                        return
 
 
 def _here(pattern: list, toks, i: int, env: dict) -> bool:
@@ -197,24 +264,29 @@ def _depends(text: str, found: set[str]) -> bool:
     return bool(eval(expr))  # noqa: S307  only the words above
 
 
-def matches(nodes: list[Node], text: str) -> list[int]:
-    """The reported lines of the last rules that match; empty if the rule isn't found in the text."""
+def matches(nodes: list[Node | Script], text: str) -> list[int]:
+    """The reported lines of all matches of the rules that match, or of those that a script reports; empty if the rule isn't found in the text."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))  # a few frames for each token of a rule
     toks = tokens(text)
     defined = functions(toks)
-    found: set[str] = set()
-    lines: list[int] = []
+    found: dict[str, set[int]] = {}
+    lines: set[int] = set()
+    scripted = any(isinstance(node, Script) for node in nodes)
     for node in nodes:
-        if not _depends(node.depends, found):
+        if not _depends(node.depends, set(found)):
+            continue
+        if isinstance(node, Script):
+            if all(name in found for name in node.rules):
+                lines.update(*[found[name] for name in node.rules])
             continue
-        name = node.anchor()
+        name, matcher = node.anchor(), _Matcher(toks)
         spans = [(a, b + 1) for f, a, b in defined if f == name] if name else [(i, len(toks)) for i in range(len(toks))]
         for a, b in spans:
-            if (hit := next(_match(node.items, 0, toks, a, b, {}, ()), None)) is not None:
-                found.add(node.name)
-                lines += hit or (toks[a][1],)
-                if not name:
-                    break
-    return sorted(set(lines))
+            if (hit := matcher.lines(node.items, 0, a, b, {})) is not None:
+                found.setdefault(node.name, set()).update(hit or {toks[a][1]})
+        if not scripted:
+            lines |= found.get(node.name, set())
+    return sorted(lines)
 
 
 def scan(files: DataFrame, rules: DataFrame) -> DataFrame:
