@@ -338,6 +338,19 @@ def test_licenses(spark):
     }
 
 
+def test_licenses_headers_and_full_texts(spark):
+    full = {name: text for name, _, text in licenses._full_texts(set(licenses.TEMPLATES))}
+    gnu = "/*\n * Copyright (C) 2001 Someone\n *\n * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation; either version 3 of the License, or\n * (at your option) any later version.\n */\nint x;\n"
+    prose = " ".join(f"word{i}" for i in range(40)) + " Licensed under the Apache License, Version 2.0. " + " ".join(f"tail{i}" for i in range(40))
+    rows = [(f"{n}/LICENSE", "Copyright (c) 2020 Some One\n\n" + t) for n, t in full.items()] + [(f"{n}/a.c", "code") for n in full]
+    rows += [("x.c", gnu), ("y.txt", prose), ("s1.c", "// SPDX-License-Identifier: Apache-2.0\nint x;"), ("s2.c", "/* SPDX-License-Identifier: GPL-2.0-only */\n"), ("s3.c", "# SPDX-License-Identifier: Zlib\n"), ("plain.txt", "the licence of a poet is no licence of ours, and so on")]
+    got = {r.path: r for r in licenses.license_scan(spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "doc_id long, path string, text string")).collect()}
+    for name in full:
+        licence = name.removesuffix("-text")
+        assert (got[f"{name}/LICENSE"].own, got[f"{name}/a.c"].licence, got[f"{name}/a.c"].inherited_from) == (licence, licence, name)
+    assert [got[p].own for p in ("x.c", "y.txt", "s1.c", "s2.c", "s3.c", "plain.txt")] == ["GPL-3.0", "Apache-2.0", "Apache-2.0", "GPL-2.0", None, None]
+
+
 def brute_seats(votes, seats):
     got = [0] * len(votes)
     for _ in range(seats):

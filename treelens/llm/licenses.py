@@ -1,9 +1,12 @@
 """License scans: TF-IDF cosine to templates, then inheritance along directories.
 
 Every line that speaks of a licence is a header to be told; it is held against the templates as a
-sparse vector of its terms, weighed by how rare they are over all such lines and templates. The
-most similar template above a threshold is the line's licence, the best line's is the file's. A file
-that is little else than such lines is a licence file and speaks for its directory: a file
+sparse vector of its terms, weighed by how rare they are over all such lines and templates. So are
+windows of terms around the cue in the stretch of lines that it stands in, for notices that wrap or stand in
+prose, and whole stretches; whole stretches, and whole texts of files named like licences or dense with
+such lines, are also held against the licences' full texts. The most similar template above a threshold is
+the unit's licence, the best unit's is the file's. A file that is little else than such lines, or whose
+whole text is a licence's, is a licence file and speaks for its directory: a file
 without a licence of its own takes that of the nearest directory above it that has one, by joining the
 paths of its ancestors.
 
@@ -15,6 +18,9 @@ with equal results; an empty table gives no rows; other columns aren't read.
 
 from __future__ import annotations
 
+import math
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +46,24 @@ TEMPLATES = {
 }
 #: Templates that stand for another's licence.
 ALIASES = {"MIT-notice": "MIT"}
-THRESHOLD, OWN_PERCENT = 0.6, 50
+_GNU = "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version. This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} for more details. You should have received a copy of the GNU {1} along with this {0}."
+#: Headers of files: each as (licence, text).
+HEADERS = [
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("GPL-2.0", _GNU.format("program", "General Public License", "2")),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("GPL-2.0", _GNU.format("program", "General Public License", "2").split(" This program is distributed")[0]),
+    ("GPL-3.0", _GNU.format("program", "General Public License", "3").split(" This program is distributed")[0]),
+    ("GPL-3.0", _GNU.format("program", "General Public License", "3")),
+    ("LGPL-2.1", _GNU.format("library", "Lesser General Public License", "2.1")),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+]
+THRESHOLD, FULL_THRESHOLD, OWN_PERCENT = 0.6, 0.8, 50
+#: Terms of a window, each a quarter of itself after the one before; cue lines that a dense file has at least, and their percentage of its lines.
+WINDOWS, DENSE_LINES, DENSE_PERCENT = (8, 16, 32, 64), 3, 10
+_NAMED = r"(?i)(?:^|/)(?:un)?(?:licen[cs]e|copying|notice)[^/]*$"
+#: Between two stretches: a line without a letter or digit.
+_APART = r"\n[^A-Za-z0-9\n]*(?=\n)"
 _CUE = r"(?i)licen[cs]e|spdx|copyright|permission is hereby|redistribution and use|public domain|creative commons|\bcc(?: by|0)\b"
 _TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
@@ -49,6 +72,51 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({_TERM})"))
 
 
+def _notices(templates: dict[str, str]) -> list[tuple[str, str, str]]:
+    """(template, licence, text) of the one-line notices, the headers and the SPDX lines."""
+    out = [(name, ALIASES.get(name, name), text) for name, text in sorted(templates.items())]
+    known = {licence for _, licence, _ in out}
+    out += [(f"{licence}-header-{i}", licence, text) for i, (licence, text) in enumerate(HEADERS) if licence in known]
+    return out + [(f"{x}-spdx{end}", x, f"SPDX-License-Identifier: {x}{end}") for x in sorted(known) for end in ("", "-only", "-or-later") if not end or "GPL" in x]
+
+
+def _full_texts(licences: set[str]) -> list[tuple[str, str, str]]:
+    """(template, licence, text) of the licences' full texts."""
+    found = sorted((Path(__file__).parent / "license_texts").glob("*.txt"))
+    return [(f"{p.stem}-text", p.stem, p.read_text()) for p in found if p.stem in licences]
+
+
+def _windows(terms: Column) -> Column:
+    """The windows of a stretch's terms that hold a cue."""
+
+    def of(n: int) -> Column:
+        last = F.size(terms) - n
+        starts = F.when(last > 0, F.array_union(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(n // 4)), F.array(last))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.slice(terms, i + 1, n))
+
+    return F.filter(F.array_distinct(F.concat(*[of(n) for n in WINDOWS])), lambda w: F.array_join(w, " ").rlike(_CUE))
+
+
+def _scores(vectors: DataFrame, by: list[str], known: DataFrame, idf: DataFrame, unseen: float, threshold: float) -> DataFrame:
+    """by, template, score of the units' terms (by, term, tf) that are similar enough to a template, and whether they hold all its numbers.
+
+    A term without idf weighs ``unseen``. Without the numbers, a part of a notice is as near to one version of a licence as to another.
+    """
+    weight = F.col("tf") * F.coalesce("idf", F.lit(unseen))
+    vectors = vectors.join(idf, "term", "left").withColumn("w", weight)
+    norms = vectors.groupBy(*by).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    weighed = _counts(known, ["template", "licence"]).join(idf, "term", "left").withColumn("w", weight)
+    number = F.col("term").rlike("[0-9]").cast("int")
+    template_norms = weighed.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("template_norm"), F.sum(number).alias("numbers"))
+    sparse = weighed.join(template_norms, "template").select("template", "licence", "numbers", "term", (F.col("w") / F.col("template_norm")).alias("tw"))
+    dots = vectors.join(F.broadcast(sparse), "term").groupBy(*by, "template", "licence", "numbers").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"), F.sum(number).alias("held"))  # as many rows as the templates have terms
+    return dots.join(norms, by).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold).withColumn("numbered", F.col("held") == F.col("numbers"))
+
+
+def _best(scored: DataFrame, by: list[str]) -> DataFrame:
+    return scored.groupBy(*by).agg(F.min_by(F.struct("licence", "score"), F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
+
+
 def _counts(df: DataFrame, by: list[str]) -> DataFrame:
     return df.select(*by, F.explode("terms").alias("term")).groupBy(*by, "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -58,30 +126,41 @@ def license_scan(files: DataFrame, key: str = "doc_id", path: str = "path", text
     spark, templates = files.sparkSession, templates or TEMPLATES
     rows = pick(files, key, path, text).toDF("key", "path", "text")
     found = F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"), lambda line: line.rlike(_CUE))
-    words = F.size(_terms(F.col("text")))
-    # One slim row a file: its licence lines alone, and how many of its words they hold.
-    slim = cut(rows.select(F.monotonically_increasing_id().alias("file"), "key", "path", found.alias("lines"), F.coalesce(F.when(F.size(found) > 0, words), F.lit(0)).alias("n_terms")), "license-lines")
-    units = slim.select("file", F.posexplode("lines").alias("at", "line")).select("file", "at", _terms(F.col("line")).alias("terms"))
+    rows = rows.select("*", found.alias("lines"))  # by itself, so that it is worked out once a row
+    any_line = F.size("lines") > 0
+    stretches = F.when(any_line, F.filter(F.split(F.col("text"), _APART), lambda x: x.rlike(_CUE))).otherwise(F.array().cast("array<string>"))
+    dense = (F.size("lines") >= DENSE_LINES) & (F.size("lines") * 100 >= F.size(F.split("text", "\n")) * DENSE_PERCENT)
+    whole = F.when(F.coalesce(F.col("path").rlike(_NAMED), F.lit(False)) | dense, F.col("text"))
+    # One slim row a file: its licence lines and their stretches alone, how many of its words they hold, and the whole text of what looks like a licence.
+    slim = cut(rows.select(F.monotonically_increasing_id().alias("file"), "key", "path", "lines", F.coalesce(F.when(any_line, F.size(_terms(F.col("text")))), F.lit(0)).alias("n_terms"), stretches.alias("stretches"), whole.alias("whole")), "license-lines")
+    lines = slim.select("file", F.posexplode("lines").alias("at", "line")).select("file", "at", _terms(F.col("line")).alias("terms"), F.lit(True).alias("line"))
+    runs = slim.select("file", F.posexplode("stretches").alias("at", "run")).select("file", "at", _terms(F.col("run")).alias("terms"))
+    views = runs.select("file", "at", F.explode(_windows(F.col("terms"))).alias("terms"), F.lit(False).alias("line"))
+    units = lines.unionByName(views).withColumn("bag", F.xxhash64("terms"))
     # Equal lines are judged once: they are many files' headers word for word.
-    bags = units.withColumn("bag", F.xxhash64("terms")).groupBy("bag", "terms").agg(F.count(F.lit(1)).alias("times"))
-    known = spark.createDataFrame(sorted(templates.items()), "template string, line string").select("template", _terms(F.col("line")).alias("terms"))
-    # Document frequencies over all lines and all templates.
-    of_lines = bags.select("times", F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.sum("times").alias("n"))
+    bags = units.groupBy("bag", "terms").agg(F.count(F.when(F.col("line"), 1)).alias("times"))
+    notices = _notices(templates)
+    known = spark.createDataFrame(notices, "template string, licence string, line string").select("template", "licence", _terms(F.col("line")).alias("terms"))
+    full = spark.createDataFrame(_full_texts({x for _, x, _ in notices}), "template string, licence string, line string").select("template", "licence", _terms(F.col("line")).alias("terms"))
+    # Document frequencies over all lines and all notices.
+    of_lines = bags.where("times > 0").select("times", F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.sum("times").alias("n"))
     of_templates = known.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    total = (bags.agg(F.sum("times")).first()[0] or 0) + len(templates)
+    total = (bags.agg(F.sum("times")).first()[0] or 0) + len(notices)
     idf = of_lines.unionByName(of_templates).groupBy("term").agg((F.ln(F.lit(float(total + 1)) / (F.sum("n") + 1)) + 1).alias("idf"))
-    vectors = _counts(bags, ["bag", "terms"]).join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = vectors.groupBy("bag", "terms").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    weighed = _counts(known, ["template"]).join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    template_norms = weighed.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("template_norm"))
-    sparse = weighed.join(template_norms, "template").select("template", "term", (F.col("w") / F.col("template_norm")).alias("tw"))
-    dots = vectors.join(F.broadcast(sparse), "term").groupBy("bag", "terms", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))  # as many rows as the templates have terms
-    scored = dots.join(norms, ["bag", "terms"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
-    names = spark.createDataFrame([(t, ALIASES.get(t, t)) for t in sorted(templates)], "template string, licence string")
-    best = scored.join(F.broadcast(names), "template").groupBy("bag", "terms").agg(F.min_by(F.struct("licence", "score"), F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
-    judged = units.withColumn("bag", F.xxhash64("terms")).join(best, ["bag", "terms"]).select("file", "at", F.size("terms").alias("n"), "b.licence", "b.score")
-    own = judged.groupBy("file").agg(F.max_by(F.struct("licence", "score"), F.struct("score", (-F.col("at")).alias("at"))).alias("b"), F.sum("n").alias("n_license_terms"))
-    told = cut(slim.join(own, "file", "left").select("file", "key", "path", F.size("lines").cast("long").alias("n_license_lines"), F.col("b.licence").alias("own"), F.col("b.score").alias("own_score"), ((F.col("n_license_terms") * 100 >= F.col("n_terms") * OWN_PERCENT) & F.col("b.licence").isNotNull()).alias("speaks")), "license-files")
+    unseen = math.log(total + 1) + 1
+    scored = cut(_scores(_counts(bags, ["bag", "terms"]), ["bag", "terms"], known, idf, unseen, threshold), "license-scores")
+    best = _best(scored, ["bag", "terms"]).withColumn("line", F.lit(True)).unionByName(_best(scored.where("numbered"), ["bag", "terms"]).withColumn("line", F.lit(False)))
+    judged = units.join(best, ["bag", "terms", "line"]).select("file", "at", F.when(F.col("line"), F.size("terms")).otherwise(0).alias("n"), F.lit(False).alias("whole"), "b.licence", "b.score")
+    texts = runs.withColumn("whole", F.lit(False)).unionByName(slim.where("whole is not null").select("file", F.lit(-1).alias("at"), _terms(F.col("whole")).alias("terms"), F.lit(True).alias("whole")))
+    by = ["file", "at", "whole"]
+    vectors = cut(_counts(texts, by), "license-texts")
+    scored = _scores(vectors, by, known, idf, unseen, threshold).where("numbered").unionByName(_scores(vectors, by, full, idf, unseen, FULL_THRESHOLD))
+    judged = judged.unionByName(_best(scored, by).select("file", "at", F.lit(0).alias("n"), "whole", "b.licence", "b.score"))
+    own = judged.groupBy("file").agg(F.max_by(F.struct("licence", "score"), F.struct("score", (-F.col("at")).alias("at"), F.col("licence"))).alias("b"), F.sum("n").alias("n_license_terms"), F.max(F.when(F.col("whole"), F.struct("score", "licence"))).alias("told"))
+    # A whole text that matches tells the licence before any line in it does.
+    own = own.select("file", F.coalesce("told.licence", "b.licence").alias("licence"), F.coalesce("told.score", "b.score").alias("score"), "n_license_terms", F.col("told").isNotNull().alias("whole_matches"))
+    speaks = F.coalesce(F.col("whole_matches") | (F.col("n_license_terms") * 100 >= F.col("n_terms") * OWN_PERCENT), F.lit(False))
+    told = cut(slim.drop("whole").join(own, "file", "left").select("file", "key", "path", F.size("lines").cast("long").alias("n_license_lines"), F.col("licence").alias("own"), F.col("score").alias("own_score"), (speaks & F.col("licence").isNotNull()).alias("speaks")), "license-files")
     return _inherit(told).select(F.col("key").alias(key), "path", "n_license_lines", "own", "own_score", F.coalesce("own", "from.licence").alias("licence"), F.when(F.col("own").isNull(), F.col("from.dir")).alias("inherited_from"))
 
 
