@@ -246,6 +246,49 @@ def test_grammar_round_trip():
     assert grammar.Shard(grammar.pack_shard([1], same, np.array([1000]))).all_ids().tolist() == same.tolist()
 
 
+def most_frequent_pair(shard):
+    """How often the most frequent pair of symbols stands at places of one document that don't overlap."""
+    count, last, heads, symbols = Counter(), {}, set(shard.firsts.tolist()), shard.seq.tolist()
+    for i, pair in enumerate(itertools.pairwise(symbols)):
+        if i + 1 not in heads and last.get(pair) != i - 1:
+            last[pair] = i if pair[0] == pair[1] else None
+            count[pair] += 1
+    return max(count.values(), default=0)
+
+
+def test_grammar_leaves_no_frequent_pair():
+    rng = np.random.default_rng(6)
+    copies = np.tile(rng.integers(0, 50_000, 700), 300)
+    for ids, counts in ((copies, [700] * 300), (rng.zipf(1.3, 60_000) % 900, [20_000] * 3), (rng.integers(0, 2, 5000), [5000]), (rng.integers(0, 3, 900), [1] * 900)):
+        for least in (2, 4, 9):
+            shard = grammar.Shard(grammar.pack_shard(list(range(len(counts))), ids.astype(np.uint32), np.array(counts), least=least))
+            assert most_frequent_pair(shard) < least
+            assert shard.all_ids().tolist() == ids.tolist()
+    shard = grammar.Shard(grammar.pack_shard(list(range(300)), copies.astype(np.uint32), np.array([700] * 300)))
+    assert len(shard.seq) == 300 and shard.lengths.max() == 700
+
+
+def test_grammar_takes_any_ids():
+    rng = np.random.default_rng(8)
+    for top in (1 << 16, 70_000, (1 << 31) + 9, (1 << 32) - 1):
+        ids = rng.integers(top - 3, top + 1, 400).astype(np.uint32)
+        shard = grammar.Shard(grammar.pack_shard([7, 8], ids, np.array([150, 250])))
+        assert shard.all_ids().tolist() == ids.tolist() and shard.ids(1).tolist() == ids[150:].tolist() and len(shard.left)
+
+
+def test_encoder_memory_and_windows(monkeypatch):
+    """Few pieces remembered and small windows don't change ids."""
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("abcdeé.\n") for _ in range(rng.randrange(1, 30))) for _ in range(rng.randrange(0, 60))) for _ in range(300)] + ["x" * 5000, None, ""]
+    monkeypatch.setattr(tokens, "MEMORY", 500)
+    monkeypatch.setattr(tokens, "CHUNK", 700)
+    mine = tokens.Encoder(catalog.tokenizer_path())
+    for _ in range(2):
+        ids, n = mine.encode(texts)
+        want = mine.whole([t or "" for t in texts])
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == np.concatenate(want).tolist()
+
+
 def test_packing(docs, odd):
     path = catalog.tokenizer_path()
     whole = tokens.Encoder(path).whole

@@ -64,7 +64,7 @@ def _packer(path: str, end_id: int, length: int, quadratic: float, window: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = tokens.encoder(path).encode
+        encode = tokens.encoder(path).encode_column
         base = TaskContext.get().partitionId() << 32
         held: list[tuple[object, np.ndarray]] = []
         size = 0
@@ -88,7 +88,7 @@ def _packer(path: str, end_id: int, length: int, quadratic: float, window: int,
             return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
-            ids, counts = encode([t or "" for t in batch["text"].to_pylist()])
+            ids, counts = encode(batch["text"])
             begin = 0
             for doc_id, n in zip(batch["doc_id"].to_pylist(), counts.tolist(), strict=True):
                 if held and size + n + 1 > window:

@@ -34,30 +34,35 @@ def _writer(path: str, end_id: int, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part, seq = tokens.encoder(path).encode, TaskContext.get().partitionId(), 0
+        encode, part, seq = tokens.encoder(path).encode_column, TaskContext.get().partitionId(), 0
         doc_ids: list = []
         held: list[np.ndarray] = []
-        counts: list[int] = []
+        counts: list[np.ndarray] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal seq
-            ids = np.concatenate(held)
-            blob = pack_shard(doc_ids, ids, np.array(counts, np.int64))
-            row = [pa.array([x], t) for x, t in ((part, pa.int32()), (seq, pa.int32()), (len(doc_ids), pa.int32()), (len(ids), pa.int64()), (blob, pa.binary()))]
-            seq += 1
+            nonlocal seq, size
+            blob = pack_shard(doc_ids, np.concatenate(held), np.concatenate(counts))
+            row = [pa.array([x], t) for x, t in ((part, pa.int32()), (seq, pa.int32()), (len(doc_ids), pa.int32()), (size, pa.int64()), (blob, pa.binary()))]
             doc_ids.clear(), held.clear(), counts.clear()
+            seq, size = seq + 1, 0
             return pa.RecordBatch.from_arrays(row, names=[f.split()[0] for f in FILES.split(", ")])
 
         for batch in batches:
-            ids, n_each = encode([t or "" for t in batch["text"].to_pylist()])
-            begin = 0
-            for doc_id, n in zip(batch["doc_id"].to_pylist(), n_each.tolist(), strict=True):
-                if held and sum(counts) + n + 1 > shard_ids:
+            ids, n = encode(batch["text"])
+            ids, n = np.insert(ids, np.cumsum(n), np.uint32(end_id)), n + 1
+            upto, at, of = np.cumsum(n), 0, batch["doc_id"].to_pylist()
+            while at < len(n):  # as many documents as the shard has room for, or one that no shard has room for
+                done = int(upto[at - 1]) if at else 0
+                end = max(int(np.searchsorted(upto, done + shard_ids - size, "right")), at + (not held))
+                if end > at:
+                    doc_ids += of[at:end]
+                    held.append(ids[done : upto[end - 1]])
+                    counts.append(n[at:end])
+                    size += int(upto[end - 1]) - done
+                at = end
+                if at < len(n):
                     yield flush()
-                doc_ids.append(doc_id)
-                held.append(np.append(ids[begin : begin + n], np.uint32(end_id)))
-                counts.append(n + 1)
-                begin += n
         if held:
             yield flush()
 
