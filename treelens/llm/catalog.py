@@ -24,7 +24,7 @@ def queries() -> dict:
         "op2_jaccard_join": lambda s, d: jaccard.jaccard_join(_documents(s, d)),
         "op3_line_dedup": lambda s, d: line_dedup.dedup_lines(_documents(s, d)),
         "op4_token_files": lambda s, d: token_files.token_files(_documents(s, d), tokenizer_path()),
-        "op5_secret_scan": lambda s, d: secrets.scan_secrets(_documents(s, d)),
+        "op5_secret_scan": lambda s, d: secrets.scan_secrets(_documents(s, d), tokenizer_path()),
         "op6_fingerprints": lambda s, d: fingerprints.edited_fingerprints(_documents(s, d)),
         "op7_packing": lambda s, d: packing.pack_documents(_documents(s, d), tokenizer_path()),
         "op8_license_scan": lambda s, d: licenses.license_scan(licenses.document_paths(_documents(s, d))),

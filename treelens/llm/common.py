@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,26 +43,67 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_folder[0]
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    """The path in Hadoop's terms, and its file system."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there, there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new place in the shared folder, removed when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    there, system = _hadoop_path(spark, path)
+    system.deleteOnExit(there)
+    return path
+
+
 def cut(df: DataFrame, what: str = "table") -> DataFrame:
     """Write df to the shared folder and read it back: what follows neither recomputes it nor needs the executors that made it.
 
     Nothing reads the shuffles of the writing again, so they go when it ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, scratch(df.sparkSession, what)
     was = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, was)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
-    """Bound the Arrow batches sent to Python by rows and by bytes, so that long texts don't add up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that cut() wrote and that nothing will read again: what was made of them is written itself."""
+    for table in tables:
+        there, system = _hadoop_path(table.sparkSession, table._cut_at)
+        system.delete(there, True)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of so many rows and about so many bytes, one row at least, so that what a worker makes of them stays small."""
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            part = batch.slice(at, rows)
+            while part.num_rows > 1 and part.nbytes > size:
+                part = part.slice(0, max(1, min(part.num_rows // 2, part.num_rows * size // part.nbytes)))
+            yield part
+            at += part.num_rows
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str, how: str = "inner", share: int = 10_000) -> DataFrame:
+    """rows joined to groups, which has one row a key and in n how many of the rows have it; both are written tables.
+
+    Rows of keys that hold more than one in ``share`` of them stay where they are, and their groups, fewer than share, are sent to all
+    executors; the other rows are shuffled by key. So no key gathers its rows in one task.
+    """
+    total = groups.agg(F.sum(n)).first()[0] or 0
+    is_hot = F.col(n) * share > F.lit(total)
+    hot, cold = groups.where(is_hot), groups.where(~is_hot)
+    left = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(left.join(cold, key, how))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treelens.llm import shingles
-from treelens.llm.common import partitions, pick, small_batches
+from treelens.llm.common import partitions, pick, slices
 
 K, WIDTH, BITS = 128, 5, 48
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles_estimate double, containment_edited double"
@@ -69,26 +69,38 @@ def sketches(texts: list[str], k: int = K, width: int = WIDTH) -> list[np.ndarra
 
 
 def fingerprint_column(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts = [t or "" for t in batch["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([encode(s) for s in sketches(texts)], pa.string())], names=["doc_id", "fingerprint"])
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint of every document: one pass, no shuffle."""
-    small_batches(docs.sparkSession)
     return pick(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(fingerprint_column, "doc_id long, fingerprint string")
 
 
+def _range_of(ids: pa.Array, bounds: np.ndarray) -> np.ndarray:
+    """Each doc_id's range; null ones are in the first."""
+    low = np.iinfo(np.int64).min
+    return np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(bounds, ids.fill_null(low).to_numpy(zero_copy_only=False), "right")).astype(np.int32)
+
+
+def _ranges(bounds: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(_range_of(batch["doc_id"], bounds))], names=["doc_id", "range"])
+
+    return run
+
+
 def _deal(bounds: np.ndarray, heads: dict):
     """Rows with their range of doc_ids; a range's first document goes to the range before it as well, as the one that follows its last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch["doc_id"].to_pylist()
-            ranges = [0 if d is None else int(np.searchsorted(bounds, d, "right")) for d in ids]
+            ids, ranges = batch["doc_id"].to_pylist(), _range_of(batch["doc_id"], bounds)
             after = [i for i, d in enumerate(ids) if d in heads]
-            whole = pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array([False] * len(ids)), batch["doc_id"], batch["text"]], names=["range", "after", "doc_id", "text"])
+            whole = pa.RecordBatch.from_arrays([pa.array(ranges), pa.array([False] * len(ids)), batch["doc_id"], batch["text"]], names=["range", "after", "doc_id", "text"])
             yield whole
             if after:
                 extra = batch.take(pa.array(after))
@@ -105,7 +117,7 @@ def _edit(text: str, following: str) -> str:
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by range, in order, the following range's first document last: each row meets the next one."""
     last = None  # range, doc_id, text, sketch of a row that waits for its next
-    for batch in batches:
+    for batch in slices(batches):
         texts = [t or "" for t in batch["text"].to_pylist()]
         rows = list(zip(batch["range"].to_pylist(), batch["after"].to_pylist(), batch["doc_id"].to_pylist(), texts, sketches(texts), strict=True))
         pairs = []
@@ -133,17 +145,16 @@ def edited_fingerprints(docs: DataFrame, ranges_each: int = 4) -> DataFrame:
     ranges of doc_id, whose bounds are quantiles and need not be exact; each range is read in order
     by one task and gets a copy of the document that follows it.
 
-    Defined results: a null text is empty; null doc_ids come first; rows tied in doc_id stand in the
+    Defined results: a null text is empty; a text of any length is read whole, its shingles a few megabytes at a time; null doc_ids come first; rows tied in doc_id stand in the
     order of a hash of their texts; a sole document follows itself; two empty sketches are alike (1),
     an empty one and another are not (0); an empty table gives no rows; other columns aren't read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     rows = pick(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     n = partitions(spark) * ranges_each
     quantiles = rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)
     bounds = sorted({ceil(q) for q in quantiles})
-    ids = rows.select("doc_id", F.array_size(F.filter(F.lit(bounds) if bounds else F.array().cast("array<long>"), lambda b: b <= F.coalesce(F.col("doc_id"), F.lit(-(2**63))))).alias("range"))
+    ids = rows.select("doc_id").mapInArrow(_ranges(np.array(bounds, np.int64)), "doc_id long, range int")
     firsts = sorted((r["range"], r.nulls, r.low) for r in ids.groupBy("range").agg(F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("nulls")).collect())
     heads = {(None if nulls else low): firsts[i - 1][0] for i, (_, nulls, low) in enumerate(firsts)}
     dealt = rows.mapInArrow(_deal(np.array(bounds, np.int64), heads), "range int, after boolean, doc_id long, text string")

@@ -2,9 +2,10 @@
 
 The domain of shingle hashes is partitioned, finer for larger sets: sets of a band of sizes (r to 2r)
 share one partition of the domain. A signature is a band, a part of the domain and all of a set's
-members in that part. Two sets that differ in at most d members differ in at most d parts, so of the
-k+1 first signatures of either, in the order of their hashes, one is shared if d is at most k: the
-subsets that PartEnum enumerates are single parts here, the fewest signatures that lose nothing.
+members in that part, or in a subset of parts. Two sets that differ in at most d members differ in at most d parts, so of the
+k+s first parts of either, in the order of their hashes, s are shared if d is at most k. For sets that may differ
+in at most PAIRS members, all subsets of two of the k+2 first parts are enumerated, so that short texts don't meet for one
+passage that is in all of them; for larger ones single parts, as there would be (k+1)*(k+2)/2 subsets of two.
 Empty parts are left out, as they would be shared by everything; that is exact as long as a set fills
 more than k parts, which is counted for every set, and bands where one doesn't do so get the finest
 partition, one member a part, as well. Sets at the lower end of a band also sign for the band
@@ -39,10 +40,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treelens.llm import shingles
-from treelens.llm.common import cut, partitions, pick, small_batches
+from treelens.llm.common import cut, discard, join_groups, partitions, pick, slices
 from treelens.llm.tokens import _U64, mix
 
-WIDTH, PERCENT, SMALL = 5, 75, 64
+WIDTH, PERCENT, SMALL, PAIRS = 5, 75, 64, 9
 #: Nodes of a group in one block; members of a hub that one task holds against it; nodes that a task remembers to have signed.
 BLOCK, HUB_ROWS, SIGNED = 1024, 256, 500_000
 FINEST = -1
@@ -97,6 +98,17 @@ def _bands(n: int, percent: int = PERCENT) -> list[int]:
     return [b, b - 1 if b else FINEST] if -(-n * percent // 100) < SMALL << b else [b]
 
 
+def _alone(n: int, percent: int) -> bool:
+    """Whether a set of n members signs by single ones."""
+    return n - -(-n * percent // 100) > PAIRS
+
+
+def _pairs(tokens: np.ndarray) -> np.ndarray:
+    """All subsets of two."""
+    i, j = np.triu_indices(len(tokens), 1)
+    return mix(tokens[i] * _U64(0xA0761D6478BD642F) + mix(tokens[j]))
+
+
 def signatures(s: np.ndarray, finest_for: frozenset[int] = frozenset(), percent: int = PERCENT) -> np.ndarray:
     n, out = len(s), []
     bands = _bands(n, percent)
@@ -105,6 +117,10 @@ def signatures(s: np.ndarray, finest_for: frozenset[int] = frozenset(), percent:
     for b in bands:
         if b == FINEST:  # at least so many members are shared; the other's parts are its members
             tokens, first = mix(s ^ _U64(0x5851F42D4C957F2D)), n - -(-n * percent // 100) + 1
+            if 1 < n and first <= PAIRS + 1:
+                out.append(_pairs(np.sort(tokens)[: first + 1]))
+                if not _alone(-(-n * 100 // percent), percent):  # no similar set is too large for pairs
+                    continue
         else:
             part, at = _filled(s, b)
             sums = np.add.reduceat(mix(s * _U64(0x9FB21C651E98DF25)), at)
@@ -128,13 +144,17 @@ def _fold(raw: bytes, size: int) -> np.ndarray:
     return a
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return slices(batches, 20_000, 4 << 20)
+
+
 def _sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
     return [members(w, width) for w in shingles.words([(t or "").encode() for t in batch["text"].to_pylist()])]
 
 
 def _digest(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             sets = _sets(batch, width)
             columns = [batch["doc_id"], batch["th"], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([unlucky(s, percent) for s in sets], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "n", "node", "unlucky"])
@@ -145,7 +165,7 @@ def _digest(width: int, percent: int):
 def _sign(width: int, percent: int, finest_for: frozenset[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signed: set[int] = set()  # copies in one task sign once
-        for batch in batches:
+        for batch in _parts(batches):
             sigs, nodes, counts = [], [], []
             if len(signed) > SIGNED:
                 signed.clear()
@@ -180,7 +200,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_bitmaps(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             yield pa.RecordBatch.from_arrays([batch["node"], batch["n"], batch["text"], pa.array([bitmap(s) for s in _sets(batch, width)], pa.binary())], names=["node", "n", "text", "bits"])
 
     return run
@@ -191,7 +211,7 @@ def _held(width: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, of = None, np.zeros(0, np.uint64)
-        for batch in batches:
+        for batch in _parts(batches):
             got_a, got_b = [], []
             for a, first, b, s in zip(batch["a"].to_pylist(), batch["first"].to_pylist(), batch["b"].to_pylist(), _sets(batch, width), strict=True):
                 if first == 0:
@@ -287,7 +307,7 @@ def allowed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each edge's component.
+    """(node, root, moved), a written table: the smallest node of each edge's component.
 
     Each round every node takes the least label among its neighbours, then what that label leads to: the
     label's own label, or the least that any node of the same label has met. So paths halve, and a whole
@@ -301,16 +321,19 @@ def components(edges: DataFrame) -> DataFrame:
         step = old.join(around.withColumnRenamed("a", "node"), "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         leads = old.toDF("root", "next").unionByName(step.select(F.col("was").alias("root"), F.col("root").alias("next"))).groupBy("root").agg(F.min("next").alias("next"))
         jumped = step.join(leads, "root").select("node", F.least("root", "next").alias("root"), "was")
-        labels = cut(jumped.select("node", "root", (F.col("root") < F.col("was")).alias("moved")), "labels")
-    return labels.select("node", "root")
+        before, labels = labels, cut(jumped.select("node", "root", (F.col("root") < F.col("was")).alias("moved")), "labels")
+        discard(before)
+    discard(both)
+    return labels
 
 
 def regroup(shared: DataFrame, rooted: DataFrame, texts: DataFrame, best: bool, width: int, percent: int) -> DataFrame:
-    """(node, comp) with those components joined that similar nodes of one group link: by all such links, or by each node's best."""
+    """(node, comp) with those components joined that similar nodes of one group link: by all such links, or by each node's best. rooted, a written table, is removed."""
     own = rooted.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
-    every = shared.select("hub", "node").join(rooted, "node")
-    open_ = every.groupBy("hub").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).join(own, "hub").where("x < y or x <> hub_comp").select("hub", "hub_comp", F.ceil((F.col("m") + 1) / BLOCK).cast("int").alias("n_blocks"))
-    left = every.join(open_.select("hub", "n_blocks"), "hub").unionByName(open_.select("hub", F.col("hub").alias("node"), F.col("hub_comp").alias("comp"), "n_blocks"))
+    every = cut(shared.select("hub", "node").join(rooted, "node"), "every")
+    open_ = every.groupBy("hub").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).join(own, "hub").where("x < y or x <> hub_comp").select("hub", "hub_comp", "m", F.ceil((F.col("m") + 1) / BLOCK).cast("int").alias("n_blocks"))
+    open_ = cut(open_, "open")
+    left = join_groups(every, open_.select("hub", "m", "n_blocks"), "hub", "m").drop("m").unionByName(open_.select("hub", F.col("hub").alias("node"), F.col("hub_comp").alias("comp"), "n_blocks"))
     left = left.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     left = left.join(texts.select("node", "n", "bits"), "node")
     dealt = left.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("hub", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "node", "comp", "n", "bits")
@@ -320,13 +343,14 @@ def regroup(shared: DataFrame, rooted: DataFrame, texts: DataFrame, best: bool,
     # Components of components.
     to = lambda x: rooted.select(F.col("node").alias(x), F.col("comp").alias(f"{x}_comp"))
     merged = components(more.join(to("a"), "a").join(to("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
-    return cut(rooted.join(merged.toDF("comp", "root"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "rooted")
+    out = cut(rooted.join(merged.select(F.col("node").alias("comp"), "root"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "rooted")
+    discard(every, open_, pairs, merged, rooted)
+    return out
 
 
 def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, th (a hash of the text), n_shingles, component_id of every row."""
     spark = docs.sparkSession
-    small_batches(spark, 20_000, "4m")
     rows = pick(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").withColumn("th", F.xxhash64("text"))
     ids = cut(rows.mapInArrow(_digest(width, percent), "doc_id long, th long, n long, node long, unlucky int"), "sets")
     bad = [r.unlucky for r in ids.where("unlucky is not null").select("unlucky").distinct().collect()]  # bands, a few dozen at most
@@ -346,15 +370,18 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     hubs = shared.groupBy("node").agg(F.min_by("hub", F.struct((-F.col("c")).alias("c"), "hub")).alias("hub"))
     hopeful = cut(allowed(hubs.select(F.col("hub").alias("a"), F.col("node").alias("b")), texts, percent), "hubs")
     first = components(similar(hopeful, texts, width, percent))
+    discard(hopeful)
 
     # Groups whose nodes still are in different components.
-    rooted = wanted.join(first, "node", "left").select("node", F.coalesce("root", "node").alias("comp"))
-    rooted = cut(rooted, "rooted")
+    rooted = cut(wanted.join(first.select("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("comp")), "rooted")
+    discard(first)
     rooted = regroup(shared, rooted, texts, True, width, percent)
-    roots = regroup(shared, rooted, texts, False, width, percent).withColumnRenamed("comp", "root")
+    rooted = regroup(shared, rooted, texts, False, width, percent)
 
+    roots = rooted.withColumnRenamed("comp", "root")
     low = ids.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low")
     low = cut(low, "roots")
+    discard(shared, texts, rooted)
     least = low.groupBy("root").agg(F.min("low").alias("component_id"))
     class_of = low.join(least, "root").select("node", "component_id")
     full = ids.where("node is not null").join(class_of, "node").select("doc_id", "th", "n", "component_id")

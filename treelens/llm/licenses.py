@@ -11,7 +11,7 @@ without a licence of its own takes that of the nearest directory above it that h
 paths of its ancestors.
 
 DataFrame functions only. Defined results: null texts and texts without a licence line have no licence
-of their own; null paths have no directory and inherit nothing; ties go to the more similar, then to
+of their own; long texts and lines are judged whole; null paths have no directory and inherit nothing; ties go to the more similar, then to
 the first template by name, and for a directory to the first path; repeated rows are files of their own
 with equal results; an empty table gives no rows; other columns aren't read.
 """
@@ -24,7 +24,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treelens.llm.common import cut, pick
+from treelens.llm.common import cut, discard, join_groups, pick
 
 #: Notices as their licences ask them to be given.
 TEMPLATES = {
@@ -59,6 +59,8 @@ HEADERS = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 ]
 THRESHOLD, FULL_THRESHOLD, OWN_PERCENT = 0.6, 0.8, 50
+#: Characters of templates up to which their terms are sent to all executors; beyond, they are joined by shuffle.
+BROADCAST_CHARS = 8_000_000
 #: Terms of a window, each a quarter of itself after the one before; cue lines that a dense file has at least, and their percentage of its lines.
 WINDOWS, DENSE_LINES, DENSE_PERCENT = (8, 16, 32, 64), 3, 10
 _NAMED = r"(?i)(?:^|/)(?:un)?(?:licen[cs]e|copying|notice)[^/]*$"
@@ -97,10 +99,10 @@ def _windows(terms: Column) -> Column:
     return F.filter(F.array_distinct(F.concat(*[of(n) for n in WINDOWS])), lambda w: F.array_join(w, " ").rlike(_CUE))
 
 
-def _scores(vectors: DataFrame, by: list[str], known: DataFrame, idf: DataFrame, unseen: float, threshold: float) -> DataFrame:
+def _scores(vectors: DataFrame, by: list[str], known: DataFrame, idf: DataFrame, unseen: float, threshold: float, small: bool) -> DataFrame:
     """by, template, score of the units' terms (by, term, tf) that are similar enough to a template, and whether they hold all its numbers.
 
-    A term without idf weighs ``unseen``. Without the numbers, a part of a notice is as near to one version of a licence as to another.
+    A term without idf weighs ``unseen``; ``small`` says that the templates have few terms. Without the numbers, a part of a notice is as near to one version of a licence as to another.
     """
     weight = F.col("tf") * F.coalesce("idf", F.lit(unseen))
     vectors = vectors.join(idf, "term", "left").withColumn("w", weight)
@@ -109,7 +111,9 @@ def _scores(vectors: DataFrame, by: list[str], known: DataFrame, idf: DataFrame,
     number = F.col("term").rlike("[0-9]").cast("int")
     template_norms = weighed.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("template_norm"), F.sum(number).alias("numbers"))
     sparse = weighed.join(template_norms, "template").select("template", "licence", "numbers", "term", (F.col("w") / F.col("template_norm")).alias("tw"))
-    dots = vectors.join(F.broadcast(sparse), "term").groupBy(*by, "template", "licence", "numbers").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"), F.sum(number).alias("held"))  # as many rows as the templates have terms
+    if small:  # equal terms of many units meet their templates where they are
+        sparse = F.broadcast(sparse)
+    dots = vectors.join(sparse, "term").groupBy(*by, "template", "licence", "numbers").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"), F.sum(number).alias("held"))
     return dots.join(norms, by).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold).withColumn("numbered", F.col("held") == F.col("numbers"))
 
 
@@ -141,26 +145,29 @@ def license_scan(files: DataFrame, key: str = "doc_id", path: str = "path", text
     bags = units.groupBy("bag", "terms").agg(F.count(F.when(F.col("line"), 1)).alias("times"))
     notices = _notices(templates)
     known = spark.createDataFrame(notices, "template string, licence string, line string").select("template", "licence", _terms(F.col("line")).alias("terms"))
-    full = spark.createDataFrame(_full_texts({x for _, x, _ in notices}), "template string, licence string, line string").select("template", "licence", _terms(F.col("line")).alias("terms"))
+    texts = _full_texts({x for _, x, _ in notices})
+    small = sum(len(line) for *_, line in [*notices, *texts]) <= BROADCAST_CHARS
+    full = spark.createDataFrame(texts, "template string, licence string, line string").select("template", "licence", _terms(F.col("line")).alias("terms"))
     # Document frequencies over all lines and all notices.
     of_lines = bags.where("times > 0").select("times", F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.sum("times").alias("n"))
     of_templates = known.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     total = (bags.agg(F.sum("times")).first()[0] or 0) + len(notices)
     idf = of_lines.unionByName(of_templates).groupBy("term").agg((F.ln(F.lit(float(total + 1)) / (F.sum("n") + 1)) + 1).alias("idf"))
     unseen = math.log(total + 1) + 1
-    scored = cut(_scores(_counts(bags, ["bag", "terms"]), ["bag", "terms"], known, idf, unseen, threshold), "license-scores")
-    best = _best(scored, ["bag", "terms"]).withColumn("line", F.lit(True)).unionByName(_best(scored.where("numbered"), ["bag", "terms"]).withColumn("line", F.lit(False)))
+    of_bags = cut(_scores(_counts(bags, ["bag", "terms"]), ["bag", "terms"], known, idf, unseen, threshold, small), "license-scores")
+    best = _best(of_bags, ["bag", "terms"]).withColumn("line", F.lit(True)).unionByName(_best(of_bags.where("numbered"), ["bag", "terms"]).withColumn("line", F.lit(False)))
     judged = units.join(best, ["bag", "terms", "line"]).select("file", "at", F.when(F.col("line"), F.size("terms")).otherwise(0).alias("n"), F.lit(False).alias("whole"), "b.licence", "b.score")
-    texts = runs.withColumn("whole", F.lit(False)).unionByName(slim.where("whole is not null").select("file", F.lit(-1).alias("at"), _terms(F.col("whole")).alias("terms"), F.lit(True).alias("whole")))
+    wholes = runs.withColumn("whole", F.lit(False)).unionByName(slim.where("whole is not null").select("file", F.lit(-1).alias("at"), _terms(F.col("whole")).alias("terms"), F.lit(True).alias("whole")))
     by = ["file", "at", "whole"]
-    vectors = cut(_counts(texts, by), "license-texts")
-    scored = _scores(vectors, by, known, idf, unseen, threshold).where("numbered").unionByName(_scores(vectors, by, full, idf, unseen, FULL_THRESHOLD))
+    vectors = cut(_counts(wholes, by), "license-texts")
+    scored = _scores(vectors, by, known, idf, unseen, threshold, small).where("numbered").unionByName(_scores(vectors, by, full, idf, unseen, FULL_THRESHOLD, small))
     judged = judged.unionByName(_best(scored, by).select("file", "at", F.lit(0).alias("n"), "whole", "b.licence", "b.score"))
     own = judged.groupBy("file").agg(F.max_by(F.struct("licence", "score"), F.struct("score", (-F.col("at")).alias("at"), F.col("licence"))).alias("b"), F.sum("n").alias("n_license_terms"), F.max(F.when(F.col("whole"), F.struct("score", "licence"))).alias("told"))
     # A whole text that matches tells the licence before any line in it does.
     own = own.select("file", F.coalesce("told.licence", "b.licence").alias("licence"), F.coalesce("told.score", "b.score").alias("score"), "n_license_terms", F.col("told").isNotNull().alias("whole_matches"))
     speaks = F.coalesce(F.col("whole_matches") | (F.col("n_license_terms") * 100 >= F.col("n_terms") * OWN_PERCENT), F.lit(False))
     told = cut(slim.drop("whole").join(own, "file", "left").select("file", "key", "path", F.size("lines").cast("long").alias("n_license_lines"), F.col("licence").alias("own"), F.col("score").alias("own_score"), (speaks & F.col("licence").isNotNull()).alias("speaks")), "license-files")
+    discard(slim, of_bags, vectors)
     return _inherit(told).select(F.col("key").alias(key), "path", "n_license_lines", "own", "own_score", F.coalesce("own", "from.licence").alias("licence"), F.when(F.col("own").isNull(), F.col("from.dir")).alias("inherited_from"))
 
 
@@ -180,7 +187,8 @@ def _inherit(told: DataFrame) -> DataFrame:
     speakers = placed.where("speaks and dir is not null").groupBy("dir").agg(F.min_by("own", F.struct((-F.col("own_score")).alias("s"), "path")).alias("licence"))
     dirs = placed.where("dir is not null").select("dir").distinct().select("dir", F.explode(F.array_distinct(F.array_append(_ancestors(F.col("dir")), F.col("dir")))).alias("above"))
     nearest = dirs.join(speakers.withColumnRenamed("dir", "above"), "above").groupBy("dir").agg(F.max_by(F.struct(F.col("above").alias("dir"), "licence"), F.length("above")).alias("from"))
-    return placed.join(nearest, "dir", "left")
+    files = placed.groupBy("dir").agg(F.count(F.lit(1)).alias("n"))
+    return join_groups(placed, cut(nearest.join(files, "dir"), "license-dirs"), "dir", "n", "left")
 
 
 def document_paths(docs: DataFrame) -> DataFrame:

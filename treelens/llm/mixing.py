@@ -9,7 +9,7 @@ rerun makes again.
 
 A source may hold a third of all rows: it is spread over shards of bounded size, up to MAX_SHARDS,
 and no task holds more than one shard. Only the sources' sums come to the driver, refused beyond
-max_sources. Defined results: null texts and texts without a word have size 0 and take 0; a null
+max_sources. Defined results: null texts and texts without a word have size 0 and take 0; a text of any length counts whole; a null
 source is a source of its own, last; repeated rows are documents of their own; an empty table gives
 no rows; other columns aren't read.
 """
@@ -35,19 +35,17 @@ BROADCAST_SOURCES = 10_000
 
 def targets(sizes: list[int], weights: list[float], total: float | None = None, repeats: float = MAX_REPEATS) -> list[float]:
     """Shares of total by weight, none above repeats times its size; the excess goes to the others by weight."""
-    total = float(sum(sizes)) if total is None else float(total)
-    out, free = [0.0] * len(sizes), [i for i, s in enumerate(sizes)]
-    while free:
-        rest = total - sum(out[i] for i in range(len(sizes)) if i not in set(free))
-        weight = sum(weights[i] for i in free)
-        above = [i for i in free if rest * weights[i] / weight > repeats * sizes[i]]
-        if not above:
-            for i in free:
-                out[i] = rest * weights[i] / weight
+    rest = float(sum(sizes)) if total is None else float(total)
+    out, weight = [0.0] * len(sizes), sum(weights)
+    # The excess only raises what the others get, so sources reach their limits in the order of size by weight.
+    order = sorted(range(len(sizes)), key=lambda i: sizes[i] / weights[i])
+    for n, i in enumerate(order):
+        if rest * weights[i] <= repeats * sizes[i] * weight:
+            for j in order[n:]:
+                out[j] = rest * weights[j] / weight
             break
-        for i in above:
-            out[i] = float(repeats * sizes[i])
-        free = [i for i in free if i not in set(above)]
+        out[i] = float(repeats * sizes[i])
+        rest, weight = rest - out[i], weight - weights[i]
     return out
 
 
@@ -77,6 +75,22 @@ def sainte_lague(votes: list[float], seats: int) -> list[int]:
     return [int(x) for x in got]
 
 
+def seats_within(votes: list[float], seats: int, most: list[int]) -> list[int]:
+    """Seats by highest quotients, no party above its most: what a party can't take the others get by their quotients."""
+    got, free = [0] * len(votes), list(range(len(votes)))
+    while free:
+        dealt = dict(zip(free, sainte_lague([votes[i] for i in free], seats), strict=True))
+        over = [i for i in free if dealt[i] > most[i]]
+        for i in over or free:
+            got[i] = min(dealt[i], most[i])
+        if not over:
+            break
+        seats -= sum(got[i] for i in over)
+        full = set(over)
+        free = [i for i in free if i not in full]
+    return got
+
+
 def _quotas_of_shards(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("shard")
     return group.assign(quota=np.array(sainte_lague(group["shard_size"].tolist(), int(group["seats"].iloc[0])), dtype="int64"))[["skey", "shard", "shard_size", "quota"]]
@@ -97,9 +111,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block_words: int
     sources.sort(key=lambda r: (r.skey == "n", r.skey))
     sizes = [r.source_size for r in sources]
     aims = targets(sizes, [weights[i % len(weights)] for i in range(len(sources))], sum(sizes) * share)
-    seats = sainte_lague(aims, round(sum(aims) / block_words))
+    seats = seats_within(aims, round(sum(aims) / block_words), [MAX_REPEATS * s // block_words for s in sizes])
     plan = docs.sparkSession.createDataFrame(
-        [(r.skey, r.source_size, aim, min(n, MAX_REPEATS * r.source_size // block_words), min(MAX_SHARDS, max(1, math.ceil(r.n_docs / docs_each)))) for r, aim, n in zip(sources, aims, seats, strict=True)],
+        [(r.skey, r.source_size, aim, n, min(MAX_SHARDS, max(1, math.ceil(r.n_docs / docs_each)))) for r, aim, n in zip(sources, aims, seats, strict=True)],
         "skey string, source_size long, target double, seats long, n_shards int",
     )
     if len(sources) <= BROADCAST_SOURCES:  # a hot source's rows stay where they are

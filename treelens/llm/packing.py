@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from treelens.llm import tokens
-from treelens.llm.common import pick, small_batches
+from treelens.llm.common import pick, slices
 
 LENGTH, QUADRATIC, WINDOW = 2048, 1.0, 1 << 21
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -87,7 +87,7 @@ def _packer(path: str, end_id: int, length: int, quadratic: float, window: int,
             size = 0
             return pa.RecordBatch.from_arrays(columns, names=names)
 
-        for batch in batches:
+        for batch in slices(batches):
             ids, counts = encode(batch["text"])
             begin = 0
             for doc_id, n in zip(batch["doc_id"].to_pylist(), counts.tolist(), strict=True):
@@ -104,6 +104,5 @@ def _packer(path: str, end_id: int, length: int, quadratic: float, window: int,
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH, quadratic: float = QUADRATIC, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """One row per piece; with_ids adds the piece's token ids, to be written as training sequences."""
-    small_batches(docs.sparkSession)
     rows = pick(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     return rows.mapInArrow(_packer(tokenizer, end_id, length, quadratic, window, with_ids), SCHEMA + (", ids array<int>" if with_ids else ""))

@@ -13,7 +13,6 @@ and no rows; other columns aren't read.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treelens.llm import tokens
-from treelens.llm.common import partitions, pick, shared_dir, small_batches
+from treelens.llm.common import partitions, pick, scratch, slices
 from treelens.llm.grammar import Shard, pack_shard
 
 SHARD_IDS = 1 << 20
@@ -48,7 +47,7 @@ def _writer(path: str, end_id: int, shard_ids: int):
             seq, size = seq + 1, 0
             return pa.RecordBatch.from_arrays(row, names=[f.split()[0] for f in FILES.split(", ")])
 
-        for batch in batches:
+        for batch in slices(batches):
             ids, n = encode(batch["text"])
             ids, n = np.insert(ids, np.cumsum(n), np.uint32(end_id)), n + 1
             upto, at, of = np.cumsum(n), 0, batch["doc_id"].to_pylist()
@@ -71,7 +70,6 @@ def _writer(path: str, end_id: int, shard_ids: int):
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_ids: int = SHARD_IDS) -> None:
     """Encode docs (doc_id, text) and write the shards under path."""
-    small_batches(docs.sparkSession)
     rows = pick(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     ordered = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     ordered.mapInArrow(_writer(tokenizer, end_id, shard_ids), FILES).write.option("compression", "uncompressed").parquet(path)
@@ -98,7 +96,6 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     A shard's start is the ids of the parts before, of which there are as many as the writing job
     had tasks, and of the shards before it in its part.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)
     files = spark.read.schema(FILES).parquet(path)
     rows = files.select("part", "seq", "blob").mapInArrow(_reader, ROWS)
     sizes = files.select("part", "seq", "n_ids")
@@ -111,6 +108,6 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Write the files to the shared folder and return what they hold, read back."""
-    path = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    path = scratch(docs.sparkSession, "tokens")
     write_tokens(docs, path, tokenizer, end_id, shard_ids)
     return read_tokens(docs.sparkSession, path)

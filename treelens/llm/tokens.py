@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; the pieces remembered, of some 60 bytes each; new pieces in one text.
-CHUNK, MEMORY, JOINED = 2 << 20, (1 << 21) - (1 << 18), 256
+CHUNK, MEMORY, JOINED = 2 << 20, 900_000, 256
 _ODD = 0x9E3779B97F4A7C15
 _U64 = np.uint64
 
@@ -67,8 +67,8 @@ class _Memory:
         room = 1 << 12
         self.n = self.n_ids = 0
         self.low, self.high, self.size = np.zeros(room, np.uint64), np.zeros(room, np.uint64), np.zeros(room, np.uint8)
-        self.begin, self.count, self.met = np.zeros(room, np.int64), np.zeros(room, np.int64), np.zeros(room, bool)
-        self.ids, self.table = np.zeros(4 * room, np.uint32), np.full(4 * room, -1, np.int32)
+        self.begin, self.count, self.met = np.zeros(room, np.uint32), np.zeros(room, np.uint8), np.zeros(room, bool)
+        self.ids, self.table = np.zeros(4 * room, np.uint32), np.full(2 * room, -1, np.int32)
         self.add(np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.zeros(1, np.uint8), np.zeros(0, np.uint32), np.zeros(1, np.int64))
 
     def _slots(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -106,7 +106,7 @@ class _Memory:
         self.n, self.n_ids = self.n + len(low), self.n_ids + len(ids)
         out = np.arange(new.start, new.stop)
         if not len(self.table):
-            self.table = np.full(4 * len(self.low), -1, np.int32)
+            self.table = np.full(2 * len(self.low), -1, np.int32)
             self._place(np.arange(self.n))
         else:
             self._place(out)
@@ -263,9 +263,9 @@ class Encoder:
 
 def gather(flat: np.ndarray, begin: np.ndarray, length: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """flat[begin[w] : begin[w] + length[w]] for each w of which, one after another, and the lengths."""
-    n = length[which]
+    n = length[which].astype(np.int64)
     place = np.cumsum(n) - n
-    return flat[np.repeat(begin[which] - place, n) + np.arange(int(n.sum()))], n
+    return flat[np.repeat(begin[which].astype(np.int64) - place, n) + np.arange(int(n.sum()))], n
 
 
 def crc(ids: np.ndarray) -> int:
