@@ -9,7 +9,6 @@ duplicates. An empty table passes through all stages. Columns beyond those of do
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treelens.llm import jaccard, line_dedup, mixing, packing, quality, shingles
-from treelens.llm.common import pick, shared_dir, small_batches
+from treelens.llm.common import cut, discard, pick, slices
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -51,7 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def _take_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row as often as the mix takes it whole, and its spans of words."""
-    for batch in batches:
+    for batch in slices(batches):
         at, texts = [], []
         for i, row in enumerate(batch.to_pylist()):
             text = row["text"] or ""
@@ -72,7 +71,6 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The mix is planned on slim rows; a repeated row's text is met by the plans of all its repeats.
     """
-    small_batches(spark)
     rows = pick(docs, *COLUMNS).withColumn("th", F.xxhash64("text"))
     plan = mixing.mix(rows, keep=("th", "lang")).where("taken > 0").select(F.col("doc_id").alias("p_doc"), F.col("th").alias("p_th"), F.col("source_name").alias("p_source"), F.col("lang").alias("p_lang"), "copies", "from_1", "to_1", "from_2", "to_2")
     once = rows.dropDuplicates(["doc_id", "th", "source", "lang"])
@@ -96,9 +94,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    read: list[DataFrame] = []
     for name, stage in STAGES[:-1]:
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{base}/{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{base}/{name}")
+        docs = cut(stage(spark, docs, sf_dir), name)
+        discard(*read)
+        read = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
