@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
 import tempfile
 import uuid
@@ -15,7 +17,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "20000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 _own_folder: list[str] = []
 
 
@@ -60,15 +63,17 @@ def scratch(spark: SparkSession, what: str) -> str:
 def cut(df: DataFrame, what: str = "table") -> DataFrame:
     """Write df to the shared folder and read it back: what follows neither recomputes it nor needs the executors that made it.
 
-    Nothing reads the shuffles of the writing again, so they go when it ends.
+    Nothing reads the shuffles of the writing again, so they go when it ends; batches for Python are small meanwhile.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, what)
-    was = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
+    was = {name: spark.conf.get(name) for name in _WRITING}
+    for name, value in _WRITING.items():
+        spark.conf.set(name, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, was)
+        for name, value in was.items():
+            spark.conf.set(name, value)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_at = path
     return out
@@ -81,6 +86,20 @@ def discard(*tables: DataFrame) -> None:
         system.delete(there, True)
 
 
+@functools.cache
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda pad: 0
+
+
+def release() -> None:
+    """Give memory that a worker has freed back to the system: it lives on, idle, after its task."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Batches in parts of so many rows and about so many bytes, one row at least, so that what a worker makes of them stays small."""
     for batch in batches:
@@ -91,6 +110,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000, size: int = 8 <<
                 part = part.slice(0, max(1, min(part.num_rows // 2, part.num_rows * size // part.nbytes)))
             yield part
             at += part.num_rows
+    release()
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str, how: str = "inner", share: int = 10_000) -> DataFrame:

@@ -47,6 +47,16 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, GAP), "")
 
 
+def _runs(hashes: Column, n: int) -> Column:
+    """The hash of every run of n members: of two runs of half as many, or of one member fewer and one; what is past the end is cut off by the caller."""
+    if n == 1:
+        return hashes
+    most = n - n % 2
+    joined = lambda h, other, skip: F.zip_with(h, F.slice(other, skip + 1, F.greatest(F.size(other) - skip, F.lit(0))), lambda x, y: F.xxhash64(x, y))
+    even = _bind(_runs(hashes, most // 2), lambda h: joined(h, h, most // 2))
+    return even if most == n else joined(even, hashes, most)
+
+
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
     """How many words lie in a window of so many words that the text holds twice or more.
 
@@ -63,10 +73,11 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
         places = _bind(tagged, lambda s: F.sort_array(F.transform(twice(s), lambda x: x["at"])))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(_bind(places, covered))
 
-    def windows(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(w) - window + 1), lambda i: F.xxhash64(F.slice(w, i, window)))
+    def windows(hashes: Column) -> Column:
+        return F.slice(_runs(hashes, window), 1, F.size(hashes) - window + 1)
 
-    return _bind(words, lambda w: F.when(F.size(w) < window, F.lit(0).cast("long")).otherwise(_bind(windows(w), of)))
+    none = F.lit(0).cast("long")
+    return _bind(F.transform(words, lambda x: F.xxhash64(x)), lambda h: F.when(F.size(h) < window, none).otherwise(_bind(windows(h), of)))
 
 
 def _strewn(line: Column) -> Column:
