@@ -28,7 +28,10 @@ def _documents(rows: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that fail go, and documents that the rules reject."""
-    return _documents(quality.judged(pick(docs, *COLUMNS)).where("kept").drop("text").withColumnRenamed("clean_text", "text"))
+    judged = quality.judged(pick(docs, *COLUMNS))
+    # None or one of each row, instead of a filter, below which Spark would work the verdict out a second time.
+    kept = F.when(F.col("kept"), F.array(F.struct("doc_id", F.col("clean_text").alias("text"), "lang", "source")))
+    return _documents(judged.select(F.explode(kept).alias("d")).select("d.*"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
