@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
+#: Slim rows that a file may as well hold; a text counts as TEXT of them.
+ROWS_EACH, TEXT = 50_000, 5
 #: Settings while a table is written.
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "20000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 _own_folder: list[str] = []
@@ -60,12 +62,15 @@ def scratch(spark: SparkSession, what: str) -> str:
     return path
 
 
-def cut(df: DataFrame, what: str = "table") -> DataFrame:
+def cut(df: DataFrame, what: str = "table", rows: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: what follows neither recomputes it nor needs the executors that made it.
 
+    ``rows`` says about how many slim rows it may have: then few files do for a small table, however many shuffle partitions there are.
     Nothing reads the shuffles of the writing again, so they go when it ends; batches for Python are small meanwhile.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, what)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_EACH)))
     was = {name: spark.conf.get(name) for name in _WRITING}
     for name, value in _WRITING.items():
         spark.conf.set(name, value)

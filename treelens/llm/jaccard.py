@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treelens.llm import shingles
-from treelens.llm.common import cut, discard, join_groups, partitions, pick, slices
+from treelens.llm.common import TEXT, cut, discard, join_groups, partitions, pick, slices
 from treelens.llm.tokens import _U64, mix
 
 WIDTH, PERCENT, SMALL, PAIRS = 5, 75, 64, 9
@@ -306,22 +306,23 @@ def allowed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(_allowed(percent), "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, about: int | None = None) -> DataFrame:
     """(node, root, moved), a written table: the smallest node of each edge's component.
 
     Each round every node takes the least label among its neighbours, then what that label leads to: the
     label's own label, or the least that any node of the same label has met. So paths halve, and a whole
-    region moves as soon as its border meets a smaller label.
+    region moves as soon as its border meets a smaller label. ``about`` says how many edges there may be.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"), F.lit(True).alias("moved")), "labels")
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", about and 2 * about)
+    most = both.count()
+    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"), F.lit(True).alias("moved")), "labels", most)
     while not labels.where("moved").isEmpty():
         old = labels.select("node", "root")
         around = both.join(old.toDF("b", "near"), "b").groupBy("a").agg(F.min("near").alias("near"))
         step = old.join(around.withColumnRenamed("a", "node"), "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         leads = old.toDF("root", "next").unionByName(step.select(F.col("was").alias("root"), F.col("root").alias("next"))).groupBy("root").agg(F.min("next").alias("next"))
         jumped = step.join(leads, "root").select("node", F.least("root", "next").alias("root"), "was")
-        before, labels = labels, cut(jumped.select("node", "root", (F.col("root") < F.col("was")).alias("moved")), "labels")
+        before, labels = labels, cut(jumped.select("node", "root", (F.col("root") < F.col("was")).alias("moved")), "labels", most)
         discard(before)
     discard(both)
     return labels
@@ -330,20 +331,21 @@ def components(edges: DataFrame) -> DataFrame:
 def regroup(shared: DataFrame, rooted: DataFrame, texts: DataFrame, best: bool, width: int, percent: int) -> DataFrame:
     """(node, comp) with those components joined that similar nodes of one group link: by all such links, or by each node's best. rooted, a written table, is removed."""
     own = rooted.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
-    every = cut(shared.select("hub", "node").join(rooted, "node"), "every")
+    most, nodes = shared.count(), rooted.count()
+    every = cut(shared.select("hub", "node").join(rooted, "node"), "every", most)
     open_ = every.groupBy("hub").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).join(own, "hub").where("x < y or x <> hub_comp").select("hub", "hub_comp", "m", F.ceil((F.col("m") + 1) / BLOCK).cast("int").alias("n_blocks"))
-    open_ = cut(open_, "open")
+    open_ = cut(open_, "open", min(most, nodes))
     left = join_groups(every, open_.select("hub", "m", "n_blocks"), "hub", "m").drop("m").unionByName(open_.select("hub", F.col("hub").alias("node"), F.col("hub_comp").alias("comp"), "n_blocks"))
     left = left.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     left = left.join(texts.select("node", "n", "bits"), "node")
     dealt = left.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("hub", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "node", "comp", "n", "bits")
     dealt = dealt.repartition(partitions(rooted.sparkSession), "hub", "low", "high").sortWithinPartitions("hub", "low", "high")
-    pairs = cut(dealt.mapInArrow(_blocks(percent, best), "a long, b long").distinct(), "pairs")
+    pairs = cut(dealt.mapInArrow(_blocks(percent, best), "a long, b long").distinct(), "pairs", most)
     more = similar(pairs, texts, width, percent)
     # Components of components.
     to = lambda x: rooted.select(F.col("node").alias(x), F.col("comp").alias(f"{x}_comp"))
-    merged = components(more.join(to("a"), "a").join(to("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
-    out = cut(rooted.join(merged.select(F.col("node").alias("comp"), "root"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "rooted")
+    merged = components(more.join(to("a"), "a").join(to("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")), nodes)
+    out = cut(rooted.join(merged.select(F.col("node").alias("comp"), "root"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "rooted", nodes)
     discard(every, open_, pairs, merged, rooted)
     return out
 
@@ -353,34 +355,36 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     spark = docs.sparkSession
     rows = pick(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").withColumn("th", F.xxhash64("text"))
     ids = cut(rows.mapInArrow(_digest(width, percent), "doc_id long, th long, n long, node long, unlucky int"), "sets")
+    n_docs = ids.count()
     bad = [r.unlucky for r in ids.where("unlucky is not null").select("unlucky").distinct().collect()]  # bands, a few dozen at most
     finest_for = frozenset(b + i for b in bad for i in (-1, 0, 1))
 
     signed = rows.select("text").mapInArrow(_sign(width, percent, finest_for), "sig long, node long")
     meet = signed.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "node long, hub long")
-    shared = cut(meet.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c")), "shared")
+    shared = cut(meet.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c")), "shared", 4 * n_docs)
 
     # Texts and bitmaps of the nodes that share a signature, one row each.
+    most = shared.count()
     wanted = shared.select("node").union(shared.select("hub")).distinct()
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     place = ids.where("node is not null").join(wanted, "node", "left_semi").groupBy("node", "n").agg(F.min(at).alias("at")).select("node", "n", F.col("at.doc_id").alias("p_doc"), F.col("at.th").alias("p_th"))
     found = rows.join(place, rows.doc_id.eqNullSafe(place.p_doc) & (rows.th == place.p_th)).dropDuplicates(["doc_id", "th"]).select("node", "n", "text")
-    texts = cut(found.mapInArrow(_with_bitmaps(width), "node long, n long, text string, bits binary"), "texts")
+    texts = cut(found.mapInArrow(_with_bitmaps(width), "node long, n long, text string, bits binary"), "texts", TEXT * n_docs)
 
     hubs = shared.groupBy("node").agg(F.min_by("hub", F.struct((-F.col("c")).alias("c"), "hub")).alias("hub"))
-    hopeful = cut(allowed(hubs.select(F.col("hub").alias("a"), F.col("node").alias("b")), texts, percent), "hubs")
-    first = components(similar(hopeful, texts, width, percent))
+    hopeful = cut(allowed(hubs.select(F.col("hub").alias("a"), F.col("node").alias("b")), texts, percent), "hubs", most)
+    first = components(similar(hopeful, texts, width, percent), most)
     discard(hopeful)
 
     # Groups whose nodes still are in different components.
-    rooted = cut(wanted.join(first.select("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("comp")), "rooted")
+    rooted = cut(wanted.join(first.select("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("comp")), "rooted", 2 * most)
     discard(first)
     rooted = regroup(shared, rooted, texts, True, width, percent)
     rooted = regroup(shared, rooted, texts, False, width, percent)
 
     roots = rooted.withColumnRenamed("comp", "root")
     low = ids.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low")
-    low = cut(low, "roots")
+    low = cut(low, "roots", n_docs)
     discard(shared, texts, rooted)
     least = low.groupBy("root").agg(F.min("low").alias("component_id"))
     class_of = low.join(least, "root").select("node", "component_id")

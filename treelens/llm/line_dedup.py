@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treelens.llm.common import cut, discard, join_groups, pick
+from treelens.llm.common import TEXT, cut, discard, join_groups, pick
 
 #: Lines of a window that is held against the others: the shortest passage that goes.
 MIN_LINES = 2
@@ -52,11 +52,11 @@ def dedup_lines(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     rows = pick(docs, "doc_id", "text", *keep).withColumn("th", F.xxhash64("text"))
     slim = cut(rows.select("doc_id", "th", F.explode(_with_lines(F.col("text"), _pairs)).alias("c")).select("doc_id", "th", "c.at", "c.h"), "pairs")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "at")
-    groups = cut(slim.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").drop("last"), "repeated")
+    groups = cut(slim.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").drop("last"), "repeated", slim.count() // 2)
     overlaps = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")) & (F.col("at") < F.col("first.at") + MIN_LINES)
     candidates = join_groups(slim, groups, "h", "n").groupBy("doc_id", "th").agg(F.collect_set(F.struct("at", "h", (~overlaps).alias("again"))).alias("cand"))
     met = rows.join(candidates, rows.doc_id.eqNullSafe(candidates.doc_id) & (rows.th == candidates.th), "left").select(rows.doc_id, rows.th, "text", *keep, "cand")
-    met = cut(met, "candidates")
+    met = cut(met, "candidates", TEXT * rows.count())
     discard(groups)
     texts = _with_lines(F.col("text"), lambda lines: F.transform("cand", lambda c: F.struct(c["h"].alias("h"), F.array_join(F.slice(lines, c["at"] + 1, MIN_LINES), "\n").alias("bytes"))))
     compared = met.where("cand is not null").select(F.explode(texts).alias("c")).select("c.h", "c.bytes")
