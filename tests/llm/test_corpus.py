@@ -94,6 +94,35 @@ def test_quality(docs, odd):
     assert [quality.quality_rules(odd.limit(1).withColumn("text", F.lit(t))).first().kept for t in ("Plain words of a clean text end here. " * 1 + " ".join(f"w{i}" for i in range(30)) + ".", " | ".join(f"w{i}" for i in range(30)), " ".join(f"w{i}%%%" for i in range(30)))] == [True, False, False]
 
 
+def test_quality_verdicts(spark, docs, odd):
+    """Line rules and the verdict, line by line in Python."""
+    phrases = [p for group in quality.BOILERPLATE.values() for p in group]
+    assert all(word in p for word, group in quality.BOILERPLATE.items() for p in group)
+
+    def fails(line):
+        n = max(1, len(words(line)))
+        strewn = len(re.findall(r"(?:[#*$%&<>]{2,}|!{2,})(?=[\x20\x09-\x0D]|$)", line))
+        bars = len(re.findall(r"(?:^|[\x20\x09-\x0D])[|>»](?=[\x20\x09-\x0D]|$)", line))
+        return strewn * 100 > 20 * n or bars * 100 > 15 * n or any(p in line.lower() for p in phrases)
+
+    rng = random.Random(2)
+    lines = [" ".join(f"w{rng.randrange(99)}" for _ in range(9)) + "." for _ in range(30)] + ["Home | News | About", "wow!! so## much%%", "Alle Rechte vorbehalten 2020", "Política de privacidad", "Tous droits réservés", "Skip to content", "a > b", "", "  "]
+    made = spark.createDataFrame([(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 12)))) for i in range(120)] + [(i, x + "\n" + " ".join(f"v{k}" for k in range(25))) for i, x in enumerate(phrases, 500)], "doc_id long, text string")
+    seen = Counter()
+    for df in (docs, odd, made):
+        want = []
+        for r in df.collect():
+            n, *_, repeated = brute_quality(r.text)
+            base = n < 20 or 100 * repeated > 30 * n
+            left = None if base else sum(len(words(x)) for x in r.text.split("\n") if not fails(x))
+            want.append((r.doc_id, not base and (n - left) * 100 <= n * 50, left))
+            seen[want[-1][1], left == n] += 1
+        assert sorted(((r.doc_id, r.kept, r.n_words_left) for r in quality.quality_rules(df).collect()), key=str) == sorted(want, key=str)
+    assert len(seen) == 3 and min(seen.values()) > 5
+    cleaned = {r.doc_id: r.clean_text for r in quality.judged(made).where("not base_failed").collect()}
+    assert all(text == "\n".join(x for x in r.text.split("\n") if not fails(x)) for r in made.collect() if (text := cleaned.get(r.doc_id)) is not None)
+
+
 def test_line_dedup(spark):
     rng = random.Random(3)
     passage = [f"shared line {i} of the passage" for i in range(12)]
@@ -186,7 +215,7 @@ def test_jaccard(spark, docs):
 
 def test_components_of_long_paths(spark, monkeypatch):
     rounds, cut = [], jaccard.cut
-    monkeypatch.setattr(jaccard, "cut", lambda df, what="table": rounds.append(what) or cut(df, what))
+    monkeypatch.setattr(jaccard, "cut", lambda df, *what: rounds.append(what[0]) or cut(df, *what))
     ids = random.Random(5).sample(range(10**9), 200)
     got = jaccard.components(spark.createDataFrame(list(itertools.pairwise(ids)), "a long, b long")).collect()
     assert {r.node: r.root for r in got} == dict.fromkeys(ids, min(ids))
@@ -196,7 +225,7 @@ def test_components_of_long_paths(spark, monkeypatch):
 def test_signatures_lose_no_pair():
     rng = np.random.default_rng(7)
     draw = lambda n: np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
-    for n in [1, 3, 4, 20, 60, 63, 64, 70, 85, 100, 127, 128, 150, 170, 200, 300, 513, 1100, 2100]:
+    for n in [1, 2, 3, 4, 5, 8, 11, 20, 25, 27, 28, 30, 36, 37, 40, 60, 63, 64, 70, 85, 100, 127, 128, 150, 170, 200, 300, 513, 1100, 2100]:
         for _ in range(20):
             both, most = draw(n), n // 3
             x = int(rng.integers(0, most + 1))
@@ -319,6 +348,43 @@ def test_packing(docs, odd):
     assert len({s for *_, s, _ in got}) == -(-lengths.sum() // 2048)
 
 
+def test_packing_takes_the_cheapest_sequence_with_room():
+    rng = random.Random(13)
+    for trial in range(40):
+        lengths = [rng.choice([0, 1, 3, 90, 500, 700, 1000, 2047, 2048, 2049, 5000]) for _ in range(rng.randrange(1, 30))]
+        cost = lambda n: n + n * n / 2048
+        want, sequence = [], 0
+        for i, n in enumerate(lengths):
+            for start in range(0, n - 2047, 2048):
+                want.append((i, start, 2048, sequence, 0))
+                sequence += 1
+        rest = [n % 2048 for n in lengths]
+        room, load = [2048] * -(-sum(rest) // 2048), [0.0] * -(-sum(rest) // 2048)
+        for i in sorted(range(len(rest)), key=lambda i: -rest[i]):
+            need, start = rest[i], lengths[i] - rest[i]
+            while need:
+                fits = [b for b in range(len(room)) if room[b] >= need] or [b for b in range(len(room)) if room[b] == max(room)]
+                b = min(fits, key=lambda b: load[b])
+                n = min(need, room[b])
+                want.append((i, start, n, sequence + b, 2048 - room[b]))
+                room[b], load[b], start, need = room[b] - n, load[b] + cost(n), start + n, need - n
+        assert packing.pack(np.array(lengths, np.int64)) == want
+
+
+def test_packing_of_nulls_and_repeated_rows(odd):
+    """Every row's ids are packed, also of rows that can't be told apart by doc_id."""
+    whole = tokens.Encoder(catalog.tokenizer_path()).whole
+    rows = odd.collect()
+    want, got = Counter(), Counter()
+    for r, w in zip(rows, whole([r.text or "" for r in rows]), strict=True):
+        want[r.doc_id, len(w) + 1] += len(w) + 1
+    pieces = packing.pack_documents(odd, catalog.tokenizer_path(), with_ids=True).collect()
+    for p in pieces:
+        got[p.doc_id, p.doc_tokens] += p.length
+        assert len(p.ids) == p.length and p.ids_crc32 == zlib.crc32(np.array(p.ids, "<u4").tobytes())
+    assert got == want and len({(p.sequence_id, p.offset) for p in pieces}) == len(pieces)
+
+
 def test_secrets(docs, odd):
     patterns = [re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")]
     for df in (docs, odd):
@@ -337,6 +403,61 @@ def test_secrets(docs, odd):
     assert not secrets.guess_spans("password: password123456")
 
 
+def brute_cost(value, words):
+    """All segments one by one, by their definitions."""
+    low, n = "".join(c.lower() if len(c.lower()) == 1 else c for c in value), len(value)
+    plain = low.translate(secrets._LEET)
+    alphabet = lambda c: 10 if c.isdigit() else 26 if c.isalpha() else 33
+    changes = lambda i, j: sum(a.isupper() != b.isupper() for a, b in itertools.pairwise(value[i:j]))
+    follows = lambda a, b: abs(ord(a) - ord(b)) == 1 and alphabet(a) == alphabet(b) and (a + b).isalnum()
+    best = [0.0] + [float("inf")] * n
+    for j in range(1, n + 1):
+        options = [(j - 1, np.log10(alphabet(value[j - 1])))]
+        for i in range(j):
+            extra, part = np.log10(2) if i else 0.0, low[i:j]
+            if part in words.rank:
+                options.append((i, extra + np.log10(words.rank[part] * (1 if value[i:j] == part else 2))))
+            if plain[i:j] in words.rank and plain[i:j] != part:
+                options.append((i, extra + np.log10(words.rank[plain[i:j]] * 4)))
+            if re.fullmatch(r"(19|20)\d\d", part) or any((m := p.match(low, i)) and m.end(1) == j for p in secrets._DATES):
+                options.append((i, extra + 4))
+        walks = [i for i in range(j) if all(a + b in secrets._WAY for a, b in itertools.pairwise(low[i:j]))]
+        if j - walks[0] >= 4:
+            i = walks[0]
+            ways = [secrets._WAY[a + b] for a, b in itertools.pairwise(low[i:j])]
+            turns = sum(a != b for a, b in itertools.pairwise(ways))
+            options.append((i, np.log10(40 * (j - i)) + turns * np.log10(6) + (changes(i, j) + (i > 0)) * np.log10(2)))
+        runs = [i for i in range(j) if all(follows(a, b) for a, b in itertools.pairwise(low[i:j])) and len({ord(b) - ord(a) for a, b in itertools.pairwise(low[i:j])}) < 2]
+        if j - runs[0] >= 3:
+            options.append((runs[0], np.log10(40 * (j - runs[0])) + (changes(runs[0], j) + (runs[0] > 0)) * np.log10(2)))
+        for u in range(1, min(64, j // 2) + 1):
+            if value[j - u : j] == value[j - 2 * u : j - u]:
+                turns = 2
+                while j >= (turns + 1) * u and value[j - (turns + 1) * u : j - turns * u] == value[j - u : j]:
+                    turns += 1
+                i = j - turns * u
+                options.append((i, brute_cost(value[j - u : j], words) + np.log10(turns) + (np.log10(2) if i else 0)))
+                break
+        best[j] = min(best[i] + c for i, c in options)
+    return best[n]
+
+
+def test_guess_cost_equals_brute_force():
+    rng = random.Random(12)
+    words = secrets.dictionary(catalog.tokenizer_path())
+    assert len(words.rank) > 10_000 and words.rank["password"] == 1
+    pieces = ["password", "P4ssw0rd", "Summer", "qwerty", "QWErtyUI", "abcdef", "CBAcba", "2024-01-15", "19991231", "31.12.1999", "aaaa", "abab", "x9", "Zk", "!", "ß", "中", "İ", "house", "1q2w3e", "456"]
+    for _ in range(300):
+        value = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 5)))
+        want = brute_cost(value, words)
+        assert secrets.guess_cost(value, words) == pytest.approx(want), value
+        for limit in (3.0, 6.0, 10.0):
+            assert (secrets.guess_cost(value, words, limit) >= limit) == (want >= limit), value
+    for long in ("ab" * 100_000, "a" * 200_000, "password1" * 20_000, "".join(rng.choice("abcdefgh") for _ in range(200_000))):
+        assert secrets.guess_cost(long, words, 10.0) > 5
+    assert secrets.guess_spans("token = abcXYZQWErtyUIOPlkj") == [(8, 3, 27)]
+
+
 def test_secrets_without_digits():
     spans = lambda t: [t[a:b] for a, _, b in secrets.guess_spans(t)]
     assert spans("password: xK!vQ#zR@tL%wN") == ["xK!vQ#zR@tL%wN"]
@@ -394,6 +515,29 @@ def test_licenses_headers_and_full_texts(spark):
     assert [got[p].own for p in ("x.c", "y.txt", "s1.c", "s2.c", "s3.c", "plain.txt")] == ["GPL-3.0", "Apache-2.0", "Apache-2.0", "GPL-2.0", None, None]
 
 
+def test_license_scores_equal_brute_force(spark):
+    """TF-IDF cosines of random bags of terms to random templates, term by term in Python."""
+    rng = random.Random(14)
+    vocabulary = [f"t{i}" for i in range(40)] + ["1", "2.0", "v3"]
+    bag = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    templates, units, idf = [(f"T{i}", f"L{i % 4}", bag(rng.randrange(1, 30))) for i in range(9)], [(i, bag(rng.randrange(1, 25))) for i in range(60)], {t: rng.random() * 5 + 1 for t in vocabulary if rng.random() < 0.8}
+    want = {}
+    weigh = lambda terms: {t: n * idf.get(t, 7.5) for t, n in Counter(terms).items()}
+    for i, terms in units:
+        a = weigh(terms)
+        for name, licence, other in templates:
+            b = weigh(other)
+            cosine = sum(a[t] * b[t] for t in a.keys() & b.keys()) / (sum(x * x for x in a.values()) * sum(x * x for x in b.values())) ** 0.5
+            if round(cosine, 6) >= 0.3:
+                numbers = {t for t in other if re.search("[0-9]", t)}
+                want[i, name, licence, numbers <= set(terms)] = cosine
+    vectors = spark.createDataFrame([(i, t, n) for i, terms in units for t, n in Counter(terms).items()], "unit int, term string, tf long")
+    known = spark.createDataFrame(templates, "template string, licence string, terms array<string>")
+    for small in (True, False):
+        got = licenses._scores(vectors, ["unit"], known, spark.createDataFrame(list(idf.items()), "term string, idf double"), 7.5, 0.3, small).collect()
+        assert {(r.unit, r.template, r.licence, r.numbered): r.score for r in got} == pytest.approx(want, abs=1e-5) and len(want) > 20
+
+
 def brute_seats(votes, seats):
     got = [0] * len(votes)
     for _ in range(seats):
@@ -409,6 +553,18 @@ def test_mixing(docs):
         seats = rng.randrange(0, 60)
         assert mixing.sainte_lague(votes, seats) == (brute_seats(votes, seats) if any(votes) else [0] * len(votes))
     assert mixing.targets([10, 1000, 10], [5, 2, 1]) == [30.0, 960.0, 30.0]
+    for _ in range(50):  # round by round: fix all that are above, share the rest again
+        sizes = [rng.randrange(1, 1000) for _ in range(rng.randrange(1, 30))]
+        weights = [rng.choice([5, 2, 1]) for _ in sizes]
+        want, free = [0.0] * len(sizes), set(range(len(sizes)))
+        while free:
+            rest, weight = sum(sizes) - sum(want[i] for i in range(len(sizes)) if i not in free), sum(weights[i] for i in free)
+            above = {i for i in free if rest * weights[i] / weight > 3 * sizes[i]}
+            for i in above or free:
+                want[i] = 3.0 * sizes[i] if above else rest * weights[i] / weight
+            free = free - above if above else set()
+        assert mixing.targets(sizes, weights) == pytest.approx(want)
+    assert mixing.seats_within([70.0, 20.0, 10.0], 10, [3, 9, 9]) == [3, 5, 2] and mixing.seats_within([1.0, 1.0], 9, [2, 3]) == [2, 3]
     assert mixing.targets([], []) == [] and mixing.targets([0, 0], [5, 2]) == [0.0, 0.0]
     rows = mixing.mix(docs).collect()
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))

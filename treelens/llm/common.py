@@ -18,7 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 #: Slim rows that a file may as well hold; a text counts as TEXT of them.
-ROWS_EACH, TEXT = 50_000, 5
+ROWS_EACH, TEXT = 50_000, 10
 #: Settings while a table is written.
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "20000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 _own_folder: list[str] = []
