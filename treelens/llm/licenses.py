@@ -67,6 +67,8 @@ _NAMED = r"(?i)(?:^|/)(?:un)?(?:licen[cs]e|copying|notice)[^/]*$"
 #: Between two stretches: a line without a letter or digit.
 _APART = r"\n[^A-Za-z0-9\n]*(?=\n)"
 _CUE = r"(?i)licen[cs]e|spdx|copyright|permission is hereby|redistribution and use|public domain|creative commons|\bcc(?: by|0)\b"
+#: A term that some match of _CUE in a line of terms holds.
+_CUE_TERM = r"licen[cs]e|spdx|copyright|permission|redistribution|public|creative|(?:^|[.-])cc(?:0|$)"
 _TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 
@@ -89,14 +91,35 @@ def _full_texts(licences: set[str]) -> list[tuple[str, str, str]]:
 
 
 def _windows(terms: Column) -> Column:
-    """The windows of a stretch's terms that hold a cue."""
+    """The windows of a stretch's terms that hold a cue: each starts a multiple of a quarter of its length from the first term, or ends with the last."""
 
-    def of(n: int) -> Column:
-        last = F.size(terms) - n
-        starts = F.when(last > 0, F.array_union(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(n // 4)), F.array(last))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.slice(terms, i + 1, n))
+    def over(places: Column, n: int) -> Column:
+        step, last = n // 4, F.size(terms) - n
 
-    return F.filter(F.array_distinct(F.concat(*[of(n) for n in WINDOWS])), lambda w: F.array_join(w, " ").rlike(_CUE))
+        def starts(p: Column) -> Column:
+            first = F.greatest(F.ceil((p - n + 1) / F.lit(float(step))).cast("int"), F.lit(0))
+            every = F.transform(F.sequence(first, F.floor(p / F.lit(float(step))).cast("int")), lambda k: F.least(k * step, last))
+            return F.when(p >= last, F.array_append(every, last)).otherwise(every)
+
+        found = F.array_distinct(F.flatten(F.transform(places, starts)))
+        return F.when(last > 0, F.transform(found, lambda i: F.slice(terms, i + 1, n))).otherwise(F.array().cast("array<array<string>>"))
+
+    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(terms) - 1, F.lit(0))), lambda i: F.coalesce(F.get(terms, i).rlike(_CUE_TERM), F.lit(False)))
+    each = F.element_at(F.transform(F.array(places), lambda at: F.concat(*[over(at, n) for n in WINDOWS])), 1)
+    return F.filter(F.array_distinct(each), lambda w: F.array_join(w, " ").rlike(_CUE))
+
+
+def _promising(units: DataFrame, by: list[str], weights: DataFrame, least: float) -> DataFrame:
+    """by, term, tf of the units (by, terms) that may be similar enough to a template.
+
+    ``weights`` has the idf of the templates' terms. No other term weighs less than its number, and only the templates' terms count
+    for a template, so a unit whose cosine can't reach ``least`` is told without looking up its other terms.
+    """
+    counted = units.repartition(*by).select(*by, F.explode("terms").alias("term")).groupBy(*by, "term").agg(F.count(F.lit(1)).alias("tf"))
+    square = (F.col("tf") * F.coalesce("weight", F.lit(1.0))) ** 2
+    summed = counted.join(weights.select("term", F.col("idf").alias("weight")), "term", "left").groupBy(*by)
+    told = summed.agg(F.collect_list(F.struct("term", "tf")).alias("v"), F.sum(F.when(F.col("weight").isNotNull(), square).otherwise(0.0)).alias("known"), F.sum(square).alias("all"))
+    return told.where(F.col("known") >= F.col("all") * (least * least - 1e-9)).select(*by, F.explode("v").alias("v")).select(*by, "v.term", "v.tf")
 
 
 def _scores(vectors: DataFrame, by: list[str], known: DataFrame, idf: DataFrame, unseen: float, threshold: float, small: bool) -> DataFrame:
@@ -140,34 +163,39 @@ def license_scan(files: DataFrame, key: str = "doc_id", path: str = "path", text
     lines = slim.select("file", F.posexplode("lines").alias("at", "line")).select("file", "at", _terms(F.col("line")).alias("terms"), F.lit(True).alias("line"))
     runs = slim.select("file", F.posexplode("stretches").alias("at", "run")).select("file", "at", _terms(F.col("run")).alias("terms"))
     views = runs.select("file", "at", F.explode(_windows(F.col("terms"))).alias("terms"), F.lit(False).alias("line"))
-    units = lines.unionByName(views).withColumn("bag", F.xxhash64("terms"))
+    units = cut(lines.unionByName(views).withColumn("bag", F.xxhash64("terms")), "license-units")
     # Equal lines are judged once: they are many files' headers word for word.
-    bags = units.groupBy("bag", "terms").agg(F.count(F.when(F.col("line"), 1)).alias("times"))
+    bags = cut(units.groupBy("bag", "terms").agg(F.count(F.when(F.col("line"), 1)).alias("times")).select(F.monotonically_increasing_id().alias("id"), "*"), "license-bags")
     notices = _notices(templates)
-    known = spark.createDataFrame(notices, "template string, licence string, line string").select("template", "licence", _terms(F.col("line")).alias("terms"))
     texts = _full_texts({x for _, x, _ in notices})
     small = sum(len(line) for *_, line in [*notices, *texts]) <= BROADCAST_CHARS
+    known = spark.createDataFrame(notices, "template string, licence string, line string").select("template", "licence", _terms(F.col("line")).alias("terms"))
     full = spark.createDataFrame(texts, "template string, licence string, line string").select("template", "licence", _terms(F.col("line")).alias("terms"))
     # Document frequencies over all lines and all notices.
     of_lines = bags.where("times > 0").select("times", F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.sum("times").alias("n"))
     of_templates = known.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     total = (bags.agg(F.sum("times")).first()[0] or 0) + len(notices)
-    idf = of_lines.unionByName(of_templates).groupBy("term").agg((F.ln(F.lit(float(total + 1)) / (F.sum("n") + 1)) + 1).alias("idf"))
+    idf = cut(of_lines.unionByName(of_templates).groupBy("term").agg((F.ln(F.lit(float(total + 1)) / (F.sum("n") + 1)) + 1).alias("idf")), "license-idf")
     unseen = math.log(total + 1) + 1
-    of_bags = cut(_scores(_counts(bags, ["bag", "terms"]), ["bag", "terms"], known, idf, unseen, threshold, small), "license-scores")
-    best = _best(of_bags, ["bag", "terms"]).withColumn("line", F.lit(True)).unionByName(_best(of_bags.where("numbered"), ["bag", "terms"]).withColumn("line", F.lit(False)))
+    weights = cut(known.unionByName(full).select(F.explode("terms").alias("term")).distinct().join(idf, "term", "left").select("term", F.coalesce("idf", F.lit(unseen)).alias("idf")), "license-weights")
+    if small:
+        weights = F.broadcast(weights)
+    vectors = cut(_promising(bags.select("id", "terms"), ["id"], weights, threshold), "license-vectors")
+    of_bags = cut(_scores(vectors, ["id"], known, idf, unseen, threshold, small), "license-scores")
+    best = _best(of_bags, ["id"]).withColumn("line", F.lit(True)).unionByName(_best(of_bags.where("numbered"), ["id"]).withColumn("line", F.lit(False)))
+    best = best.join(bags.select("id", "bag", "terms"), "id").drop("id")
     judged = units.join(best, ["bag", "terms", "line"]).select("file", "at", F.when(F.col("line"), F.size("terms")).otherwise(0).alias("n"), F.lit(False).alias("whole"), "b.licence", "b.score")
     wholes = runs.withColumn("whole", F.lit(False)).unionByName(slim.where("whole is not null").select("file", F.lit(-1).alias("at"), _terms(F.col("whole")).alias("terms"), F.lit(True).alias("whole")))
     by = ["file", "at", "whole"]
-    vectors = cut(_counts(wholes, by), "license-texts")
-    scored = _scores(vectors, by, known, idf, unseen, threshold, small).where("numbered").unionByName(_scores(vectors, by, full, idf, unseen, FULL_THRESHOLD, small))
+    long_vectors = cut(_promising(wholes, by, weights, min(threshold, FULL_THRESHOLD)), "license-texts")
+    scored = _scores(long_vectors, by, known, idf, unseen, threshold, small).where("numbered").unionByName(_scores(long_vectors, by, full, idf, unseen, FULL_THRESHOLD, small))
     judged = judged.unionByName(_best(scored, by).select("file", "at", F.lit(0).alias("n"), "whole", "b.licence", "b.score"))
     own = judged.groupBy("file").agg(F.max_by(F.struct("licence", "score"), F.struct("score", (-F.col("at")).alias("at"), F.col("licence"))).alias("b"), F.sum("n").alias("n_license_terms"), F.max(F.when(F.col("whole"), F.struct("score", "licence"))).alias("told"))
     # A whole text that matches tells the licence before any line in it does.
     own = own.select("file", F.coalesce("told.licence", "b.licence").alias("licence"), F.coalesce("told.score", "b.score").alias("score"), "n_license_terms", F.col("told").isNotNull().alias("whole_matches"))
     speaks = F.coalesce(F.col("whole_matches") | (F.col("n_license_terms") * 100 >= F.col("n_terms") * OWN_PERCENT), F.lit(False))
     told = cut(slim.drop("whole").join(own, "file", "left").select("file", "key", "path", F.size("lines").cast("long").alias("n_license_lines"), F.col("licence").alias("own"), F.col("score").alias("own_score"), (speaks & F.col("licence").isNotNull()).alias("speaks")), "license-files")
-    discard(slim, of_bags, vectors)
+    discard(slim, units, bags, idf, vectors, of_bags, long_vectors)
     return _inherit(told).select(F.col("key").alias(key), "path", "n_license_lines", "own", "own_score", F.coalesce("own", "from.licence").alias("licence"), F.when(F.col("own").isNull(), F.col("from.dir")).alias("inherited_from"))
 
 
