@@ -8,23 +8,31 @@ from __future__ import annotations
 
 import posixpath
 import re
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
-#: Names of architectures that share another's directory; suffixes that an object may be made from, in order.
+#: Names of architectures that share another's directory.
 ARCH_ALIASES = {"i386": "x86", "x86_64": "x86", "sparc32": "sparc", "sparc64": "sparc", "parisc64": "parisc", "sh64": "sh", "tilepro": "tile", "tilegx": "tile"}
+#: Suffixes that an object may be made from, the first that exists.
 SOURCE_SUFFIXES = (".c", ".S", ".s", ".rs", ".l", ".y", ".ppm")
-#: Directories that every tree of this layout builds.
-FLOOR = ("init", "kernel", "mm", "fs", "ipc", "security", "crypto", "block", "drivers", "sound", "net", "lib", "usr", "virt", "certs", "io_uring")
+#: Directories that are built unconditionally where the top makefiles name none of them.
+FLOOR = ("init", "drivers", "sound", "firmware", "net", "lib", "usr", "kernel", "mm", "fs", "ipc", "security", "crypto", "block", "certs", "virt")
 MAX_COMPOSITE_DEPTH = 3
 
-_SYMBOL = r"\$[({](CONFIG_\w+)[)}]"
-_IF = re.compile(rf"(ifn?eq)\s*\(\s*{_SYMBOL}\s*,\s*([ymn]?)\s*\)\s*$")
-_IFQ = re.compile(rf"""(ifn?eq)\s*["']{_SYMBOL}["']\s+["']([ymn]?)["']\s*$""")
-_IFDEF = re.compile(r"(ifn?def)\s+(CONFIG_\w+)\s*$")
-_ASSIGN = re.compile(r"([\w.$(){}/-]+?)\s*(\+=|:=|\?=|=)\s*(.*)$")
-_TOP = re.compile(rf"(?:obj|core|init|drivers|net|libs|virt)-(?:(y|m)|{_SYMBOL})$")
-_OBJ = re.compile(rf"(?:obj|lib)-(?:(y|m)|{_SYMBOL})$")
-_SUBDIR = re.compile(rf"subdir-(?:(y|m)|{_SYMBOL})$")
-_MEMBER = re.compile(rf"(.+?)-(?:(y|m|objs)|{_SYMBOL})$")
+_NAME = r"CONFIG_[\w-]+"
+_SYMBOL = rf"\$\(({_NAME})\)"
+_IF = re.compile(rf"(ifn?eq)\s+\({_SYMBOL},\s*([ymn]?)\s*\)")
+_IFDEF = re.compile(rf"(ifn?def)\s+({_NAME})")
+_ASSIGN = re.compile(r"([^\s:+?=]+)\s*([+:?]?=)\s*(.*)$")
+_TOP = re.compile(rf"(?:obj|core|init|drivers|net|libs|virt)-(?:[ym]|{_SYMBOL})\s*(?::=|\+=|=)\s*(.*)")
+_ARCH = re.compile(rf"(?:core|init|drivers|net|libs)-(?:y|{_SYMBOL})\s*(?::=|\+=|=)\s*(.*)")
+_MACHINE = re.compile(rf"(machine|plat)-(?:y|{_SYMBOL})\s*(?::=|\+=|=)\s*(.*)")
+_PLATFORM = re.compile(rf"platform-{_SYMBOL}\s*\+=\s*(.*)")
+_OBJECT = re.compile(rf"(?:obj|lib)-(?:[ym]|\$[({{]({_NAME})[)}}])\s*(?::=|\+=|=)\s*((?:[\w.,$()/-]+\s*)+)")
+_SUBDIR = re.compile(rf"subdir-(?:y|{_SYMBOL})\s*\+=(.*)")
+_FUNCTION = re.compile(r"\$\((addprefix|addsuffix)\s+([^,]*?)\s*,\s*(.*)\)$")
+
+Alternatives = list[tuple[str, ...]]
 
 
 def srcarch(arch: str) -> str:
@@ -47,29 +55,27 @@ def logical_lines(text: str) -> list[str]:
 
 
 class Conditions:
-    """The stack of conditional directives; lines under one that can't be read are invalid."""
+    """The stack of conditional directives; lines under one that can't be read are invalid, in both branches."""
 
     def __init__(self) -> None:
         self._stack: list[str | None] = []
 
     def feed(self, line: str) -> bool:
-        """Whether the line was a directive."""
-        word = line.split("(")[0].split()[0] if line.split("(")[0].split() else ""
-        if word in ("ifeq", "ifneq", "ifdef", "ifndef"):
-            if m := _IF.match(line) or _IFQ.match(line):
-                positive = (m[1] == "ifeq") == (m[3] in ("y", "m"))
-                self._stack.append(("" if positive else "~") + m[2])
+        """Whether the line was a directive. ``else`` turns the last one round, whatever stands behind it."""
+        if re.match(r"ifn?(?:eq|def)\s", line):
+            read = None
+            if m := _IF.match(line):
+                read = m[2] if (m[1] == "ifeq") == (m[3] in ("y", "m")) else "~" + m[2]
             elif m := _IFDEF.match(line):
-                self._stack.append(("" if m[1] == "ifdef" else "~") + m[2])
-            else:
-                self._stack.append(None)
+                read = m[2] if m[1] == "ifdef" else "~" + m[2]
+            self._stack.append(read if self.valid else None)
             return True
-        if word == "else":  # with a condition after it or without
+        if re.match(r"else\b", line):
             if self._stack and self._stack[-1]:
                 top = self._stack[-1]
                 self._stack[-1] = top[1:] if top.startswith("~") else "~" + top
             return True
-        if word == "endif":
+        if re.match(r"endif\b", line):
             if self._stack:
                 self._stack.pop()
             return True
@@ -79,20 +85,19 @@ class Conditions:
     def valid(self) -> bool:
         return None not in self._stack
 
-    def literals(self) -> list[str]:
-        return [x for x in self._stack if x]
+    @property
+    def depth(self) -> int:
+        return len(self._stack)
+
+    def literals(self) -> tuple[str, ...]:
+        return tuple(x for x in self._stack if x)
 
 
-def conjoin(parent: tuple[str, ...], local: list[tuple[str, ...]]) -> tuple[str, ...]:
-    """The parent's conditions and the OR of the local ones, without repeats."""
-    local = list(dict.fromkeys(local))
-    if not local or () in local:
-        more: list[str] = []
-    elif len(local) == 1:
-        more = list(local[0])
-    else:
-        more = ["(" + " | ".join(" & ".join(a) if len(a) == 1 else f"({' & '.join(a)})" for a in local) + ")"]
-    return tuple(dict.fromkeys([*parent, *more]))
+def conjoin(above: Iterable[str], alternatives: Alternatives) -> tuple[str, ...]:
+    """The conditions from above and the OR of the alternatives, unless one of these is unconditional."""
+    texts = [" & ".join(a) for a in alternatives]
+    own = [] if not texts or "" in texts else [texts[0] if len(texts) == 1 else f"({' | '.join(texts)})"]
+    return tuple(dict.fromkeys([*above, *own]))
 
 
 def join_alternatives(alts: list[str]) -> str:
@@ -100,6 +105,11 @@ def join_alternatives(alts: list[str]) -> str:
     return "" if "" in alts else alts[0] if len(alts) == 1 else " | ".join(f"({a})" for a in alts)
 
 
+def source_of(target: str, exists) -> str | None:
+    """The source that a target may be made from: its name with the first suffix that exists."""
+    return next((target[:-2] + s for s in SOURCE_SUFFIXES if exists(target[:-2] + s)), None)
+
+
 class Tree:
     """files: path -> text of makefiles, None for other files."""
 
@@ -109,118 +119,181 @@ class Tree:
         self.alts: dict[str, list[str]] = {}
         self._visited: set[tuple[str, tuple[str, ...]]] = set()
 
-    def makefile(self, directory: str) -> str | None:
-        return next((p for n in ("Kbuild", "Makefile") if self.files.get(p := posixpath.join(directory, n)) is not None), None)
-
-    def _expand(self, line: str, at: str, names: dict[str, str]) -> str:
-        line = re.sub(rf"\$\(subst m,y,{_SYMBOL}\)", r"$(\1)", line)
-        line = re.sub(r"\$\((CONFIG_\w+):m=y\)", r"$(\1)", line)
-        fixed = {"srctree": ".", "objtree": ".", "SRCARCH": self.srcarch, "ARCH": self.arch, "src": at or ".", "obj": at or "."}
-        for _ in range(8):
-            new = re.sub(r"\$[({](\w+)[)}]", lambda m: fixed.get(m[1], names.get(m[1], m[0])), line)
-            new = re.sub(r"\$\(add(prefix|suffix)\s+([^,$()]*),\s*([^$()]*)\)", lambda m: " ".join(m[2].strip() + t if m[1] == "prefix" else t + m[2].strip() for t in m[3].split()), new)
-            if new == line:
-                break
-            line = new
-        return line
-
-    def lines(self, path: str, at: str, names: dict[str, str], seen: tuple[str, ...] = ()) -> list[str]:
-        """Logical lines with includes in place; an include that isn't there is ignored."""
-        out = []
-        for line in logical_lines(self.files.get(path) or ""):
-            if m := re.match(r"-?s?include\s+(.+)", line):
-                for target in self._expand(m[1], at, names).split():
-                    for p in (posixpath.normpath(target), posixpath.normpath(posixpath.join(posixpath.dirname(path if not seen else seen[0]), target))):
-                        if self.files.get(p) is not None and p not in (*seen, path):
-                            out += self.lines(p, at, names, (*seen, path))
-                            break
-                continue
-            if m := re.match(r"([A-Z_][A-Z0-9_]*)\s*(\+=|:=|\?=|=)\s*(.*)$", line):
-                value = self._expand(m[3], at, names)
-                if f"$({m[1]})" not in value:
-                    names[m[1]] = f"{names.get(m[1], '')} {value}".strip() if m[2] == "+=" else value
-            out.append(line)
-        return out
-
-    def seeds(self) -> dict[str, list[tuple[str, ...]]]:
-        found: dict[str, list[tuple[str, ...]]] = {}
+    def makefile(self, directory: str) -> str:
+        kbuild = posixpath.join(directory, "Kbuild")
+        return kbuild if kbuild in self.files else posixpath.join(directory, "Makefile")
 
-        def scan(path: str, into: dict) -> None:
-            stack = Conditions()
-            for raw in self.lines(path, posixpath.dirname(path), {}):
-                if stack.feed(raw) or not stack.valid or not (m := _ASSIGN.match(raw)) or not (t := _TOP.match(m[1])):
-                    continue
-                for token in self._expand(m[3], "", {}).split():
-                    d = posixpath.normpath(token)
-                    if "$" not in token and token.endswith("/") and d in self.dirs:
-                        into.setdefault(d, []).append(tuple(dict.fromkeys([*stack.literals(), *([t[2]] if t[2] else [])])))
+    # Seeds: the directories to start from.
 
-        for name in ("Kbuild", "Makefile"):
-            scan(name, found)
+    def _top_lines(self, path: str) -> Iterator[str]:
+        for line in logical_lines(self.files.get(path) or ""):
+            yield line.replace("$(SRCARCH)", self.srcarch).replace("$(ARCH)", self.arch).replace("$(srctree)", ".")
+
+    def _directories(self, tokens: str, form: str = "{}") -> list[str]:
+        return [d for t in tokens.split() if "$(" not in t and (d := posixpath.normpath(form.format(t))) in self.dirs]
+
+    def _arch_seeds(self) -> dict[str, Alternatives]:
+        """What the architecture's makefile adds, each directory by itself overriding what the top ones say."""
+        found: dict[str, Alternatives] = defaultdict(list)
+        for line in self._top_lines(f"arch/{self.srcarch}/Makefile"):
+            if m := _ARCH.match(line):
+                places = self._directories(m[2])
+                given = m[1]
+            elif self.arch in ("arm", "blackfin") and (m := _MACHINE.match(line)):
+                kind, given = {"machine": "mach", "plat": "plat"}[m[1]], m[2]
+                places = self._directories(m[3], f"arch/{self.arch}/{kind}-{{}}") if (self.arch, kind) != ("blackfin", "plat") else []
+                if self.arch == "blackfin":
+                    places = [x for d in places for x in (d, f"{d}/boards") if x in self.dirs]
+            else:
+                if self.arch == "mips" and (m := re.match(r"include\s+(.*)", line)):
+                    self._mips_platforms(m[1], found)
+                continue
+            for d in places:
+                found[d].append((given,) if given else ())
+        return found
+
+    def _mips_platforms(self, included: str, found: dict[str, Alternatives]) -> None:
+        for line in (self.files.get(posixpath.normpath(included.strip())) or "").split("\n"):
+            if m := re.match(r"platforms\s*\+=\s*(.*)", line):
+                for entry in self._top_lines(posixpath.normpath(f"arch/mips/{m[1].strip()}/Platform")):
+                    if p := _PLATFORM.match(entry):
+                        for d in self._directories(p[2], "arch/mips/{}"):
+                            found[d].append((p[1],))
+
+    def seeds(self) -> dict[str, Alternatives]:
+        found: dict[str, Alternatives] = {}
+        for path in ("Kbuild", "Makefile"):
+            for line in self._top_lines(path):  # in conditional blocks too
+                if m := _TOP.match(line):
+                    for d in self._directories(m[2]):
+                        found.setdefault(d, []).append((m[1],) if m[1] else ())
         for d in FLOOR:
             if d in self.dirs:
                 found.setdefault(d, [()])
-        arch: dict[str, list[tuple[str, ...]]] = {}
-        scan(f"arch/{self.srcarch}/Makefile", arch)
-        if self.makefile(f"arch/{self.srcarch}") == f"arch/{self.srcarch}/Kbuild":
-            arch.setdefault(f"arch/{self.srcarch}", [()])
-        return found | arch
+        return found | self._arch_seeds()
 
     def parse(self) -> dict[str, str]:
-        for d, local in self.seeds().items():
-            self._descend(d, conjoin((), local))
+        for d, alternatives in self.seeds().items():
+            self._read(self.makefile(d), conjoin((), alternatives))
         return {p: join_alternatives(a) for p, a in self.alts.items()}
 
-    def _source(self, token: str, at: str) -> str | None:
-        base = posixpath.normpath(posixpath.join(at, token[:-2]))
-        return next((base + s for s in SOURCE_SUFFIXES if base + s in self.files), None)
+    # One makefile.
 
-    def _descend(self, directory: str, parent: tuple[str, ...]) -> None:
-        path = self.makefile(directory)
-        if path is None or (path, parent) in self._visited:
-            return
-        self._visited.add((path, parent))
-        names: dict[str, str] = {}
-        stack = Conditions()
-        children: dict[str, list[tuple[str, ...]]] = {}
-        objects: dict[str, list[tuple[str, ...]]] = {}
-        members: dict[str, list[tuple[str, tuple[str, ...]]]] = {}
-        for raw in self.lines(path, directory, names):
-            if stack.feed(raw) or not stack.valid:
+    def _value(self, text: str, names: dict[str, str]) -> str:
+        for name, value in (("srctree", "."), ("objtree", "."), ("src", "."), ("SRCARCH", self.srcarch), ("ARCH", self.arch)):
+            text = text.replace(f"$({name})", value)
+        text = re.sub(r"\$\(([A-Z_]+)\)", lambda m: names.get(m[1], m[0]), text)
+        if m := _FUNCTION.match(text):
+            text = " ".join(m[2] + t if m[1] == "addprefix" else t + m[2] for t in self._value(m[3], names).split())
+        return text
+
+    def _included(self, line: str, at: str, names: dict[str, str]) -> list[str]:
+        """The files that an include line names, from the tree's root or else from the directory of the first makefile."""
+        out = []
+        for target in line.split()[1:]:
+            rooted = target.startswith(("$(srctree)", "$(objtree)"))
+            path = self._value(target.replace("$(src)", at or "."), names)
+            tries = [path] if rooted or "$(src)" in target else [posixpath.join(at, path)]
+            out += [p for t in tries if self.files.get(p := posixpath.normpath(t)) is not None]
+        return out
+
+    def lines(self, path: str, at: str, names: dict[str, str], seen: tuple[str, ...] = ()) -> Iterator[str]:
+        """Logical lines with variables' values, and includes in place; an include that isn't there is ignored."""
+        for line in logical_lines(self.files.get(path) or ""):
+            if re.match(r"include\s", line):
+                for p in self._included(line, at, names):
+                    if p not in (*seen, path):
+                        yield from self.lines(p, at, names, (*seen, path))
                 continue
-            for bits in ("32", "64") if "$(BITS)" in raw else ("",):
-                m = _ASSIGN.match(raw.replace("$(BITS)", bits))
-                if not m or "$(filter-out" in m[3]:
+            line = re.sub(rf"-\$\(subst m,y,{_SYMBOL}\)", r"-$(\1)", line)
+            line = re.sub(rf"-\$\(({_NAME}):m=y\)", r"-$(\1)", line)
+            if m := _ASSIGN.match(line):
+                value = self._value(m[3], names)
+                if re.fullmatch("[A-Z_]+", m[1]):
+                    if m[2] == "+=":
+                        names[m[1]] = f"{names.get(m[1], '')} {value}"
+                    elif m[1] not in value:  # one that names itself stays as it is
+                        names[m[1]] = value
+                line = f"{m[1]} {'+=' if m[2] == '+=' else ':='} {value}"
+            else:
+                line = self._value(line, names)
+            yield line
+
+    def _read(self, path: str, above: tuple[str, ...]) -> None:
+        if self.files.get(path) is None:
+            return
+        at, stack = posixpath.dirname(path), Conditions()
+        lines = []  # what is valid, and under which conditions
+        for line in self.lines(path, at, {}):
+            if not stack.feed(line) and stack.valid:
+                lines.append((line, stack.literals()))
+        places: dict[str, Alternatives] = defaultdict(list)
+        sources: dict[str, Alternatives] = defaultdict(list)
+        composites: dict[str, Alternatives] = defaultdict(list)
+
+        def put(token: str, given: tuple[str, ...], rest) -> None:
+            full = posixpath.normpath(posixpath.join(at, token))
+            if full in self.dirs:
+                if given not in places[full]:
+                    places[full].append(given)
+            elif source := source_of(full, self.files.__contains__):
+                sources[source].append(given)
+            else:
+                rest(full)
+
+        for raw, given in lines:
+            for line in [raw.replace("$(BITS)", b) for b in ("32", "64")] if "$(BITS)" in raw else [raw]:
+                if m := _OBJECT.match(line):
+                    own = (*given, m[1]) if m[1] else given
+                    for token in [] if m[2].startswith("$(filter-out") else m[2].split():
+                        put(token, own, lambda full, own=own: composites[full].append(own))
+                elif m := _SUBDIR.match(line):
+                    for token in m[2].split():
+                        put(token.rstrip("/") + "/", (*given, m[1]) if m[1] else given, lambda full: None)
+
+        def expand(name: str, given: tuple[str, ...], seen: tuple[str, ...]) -> None:
+            m = re.match(r"([\w,-]+)\.o|\$\(([\w,-]+)\)", posixpath.basename(name))
+            if not m or name in seen or len(seen) == MAX_COMPOSITE_DEPTH:
+                return
+            base, forms = (m[1], rf"(?:|-y|-objs|-{_SYMBOL})") if m[1] else (m[2].removesuffix("y"), rf"(?:|y|{_SYMBOL})")
+            member = re.compile(rf"{re.escape(base)}{forms}\s*(?::=|\+=|=)\s*(.*)")
+            for line, block in lines:
+                if not (m := member.match(line)):
                     continue
-                tokens = self._expand(m[3], directory, names).split()
-                left = re.sub(r"\$\(subst m,y,(\$\(CONFIG_\w+\))\)", r"\1", m[1])
-                condition = lambda g: tuple(dict.fromkeys([*stack.literals(), *([g] if g else [])]))
-                if o := _OBJ.match(left):
-                    for t in tokens:
-                        if t.endswith("/"):
-                            children.setdefault(posixpath.normpath(posixpath.join(directory, t)), []).append(condition(o[2]))
-                        elif t.endswith(".o"):
-                            objects.setdefault(t, []).append(condition(o[2]))
-                elif (o := _SUBDIR.match(left)) and m[2] == "+=":
-                    for t in tokens:
-                        children.setdefault(posixpath.normpath(posixpath.join(directory, t)), []).append(condition(o[2]))
-                elif o := _MEMBER.match(left):
-                    members.setdefault(o[1], []).extend((t, condition(o[3])) for t in tokens if t.endswith(".o"))
-        found: dict[str, list[str]] = {}
-
-        def emit(token: str, given: tuple[str, ...], seen: tuple[str, ...]) -> None:
-            if source := self._source(token, directory):
-                found.setdefault(source, []).append(" & ".join(given))
-            if token[:-2] in members and token not in seen and len(seen) < MAX_COMPOSITE_DEPTH:
-                parts: dict[str, list[tuple[str, ...]]] = {}
-                for t, c in members[token[:-2]]:
-                    parts.setdefault(t, []).append(c)
-                for t, local in parts.items():
-                    emit(t, conjoin(given, local), (*seen, token))
-
-        for token, local in objects.items():
-            emit(token, conjoin(parent, local), ())
-        for d, local in children.items():
-            self._descend(d, conjoin(parent, local))
-        for source in sorted(found):
-            self.alts.setdefault(source, []).extend(found[source])
+                down = (*given, m[1]) if m[1] else given
+                for token in m[2].split():
+                    full = posixpath.normpath(posixpath.join(posixpath.dirname(name), token))
+                    if full in self.dirs:
+                        places[full].append(down)
+                    elif source := source_of(full, self.files.__contains__):
+                        sources[source].append((*down, *block))
+                    else:
+                        expand(full, down, (*seen, name))
+
+        for name, alternatives in composites.items():
+            expand(name, conjoin((), alternatives), ())
+        for d, alternatives in places.items():
+            key = (self.makefile(d), conjoin(above, alternatives))
+            if key not in self._visited:
+                self._visited.add(key)
+                self._read(*key)
+        for source in sorted(sources):
+            self.alts.setdefault(source, []).append(" & ".join(conjoin(above, sources[source])))
+
+
+def resolve_arch(asked: str | None, banner: str | None, exists, strict: bool = False, config: str | None = None) -> tuple[str, list[str]]:
+    """The architecture and warnings: as asked for, else as the configuration's banner says, else x86 (KB3).
+
+    exists tells whether the tree has a directory. ValueError if the two don't agree, if the tree doesn't have it, or if strict leaves no room for a guess.
+    """
+    if asked and banner and srcarch(asked) != srcarch(banner):
+        raise ValueError(f"architecture {asked} conflicts with {config}, which is for {banner}")
+    arch = asked or banner
+    if arch:
+        if not exists(f"arch/{srcarch(arch)}"):
+            raise ValueError(f"unknown architecture {arch}")
+        return arch, []
+    if strict:
+        raise ValueError(f"no architecture in the banner of {config}: name one, since a guess would drop findings")
+    warnings = ["assuming architecture x86"] if config else []
+    return "x86", warnings if exists("arch/x86") else [*warnings, "there is no arch/x86"]

@@ -1,11 +1,22 @@
-"""Metadata of vulnerabilities: validation, merge, extremum of commits, enrichment (MD1-10, JN8-12, AGG8)."""
+"""Metadata of vulnerabilities: validation, resolution, selection in history, merge, enrichment (MD1-10, JN8-12, AGG7-8, AGG10).
+
+commits: sha, committed_at, subject; parents: sha, parent; both as treelens.sources.history reads them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treelens.tables import cut, discard
+
 _SHA = "^[0-9a-f]{7,40}$"
+#: How an issue's note opens, and what it holds, if the vulnerability itself was rejected.
+REJECTED_PREFIXES = ("This is not a kernel bug", "This is not a bug", "This CVE was rejected", "This CVE is rejected", "Not a kernel", "Not kernel", "Not a real", "Not a security")
+REJECTED_MARKERS = ("Android", "duplicate", "closed source", "out-of-tree", "Bogus", "Invalid")
+#: References that may name the mainline's tip, the first that exists.
+MAINLINE = ("refs/remotes/origin/master", "refs/heads/master", "HEAD")
+FIELDS = ("fixes", "breaks", "rejected")
 
 
 def commit_id(value: Column) -> Column:
@@ -14,12 +25,49 @@ def commit_id(value: Column) -> Column:
 
 
 def resolve(ids: DataFrame, commits: DataFrame) -> DataFrame:
-    """Add ``full``: whole ids as they are, shorter ones by the one commit that they start; NULL if none or several do."""
-    short = ids.where(F.length("sha") < 40).select("sha").distinct()
+    """Add ``full``: whole ids as they are, shorter ones by the one commit that they start; NULL if none or several do, or if it is no id."""
+    known = ids.withColumn("sha", commit_id(F.col("sha")))
+    short = known.where(F.length("sha") < 40).select("sha").distinct()
     keyed = commits.select(F.col("sha").alias("full"), F.substring("sha", 1, 7).alias("k"))
     found = short.withColumn("k", F.substring("sha", 1, 7)).join(keyed, "k").where(F.col("full").startswith(F.col("sha")))
     one = found.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min("full").alias("found")).where("n = 1")
-    return ids.join(one.select("sha", "found"), "sha", "left").withColumn("full", F.when(F.length("sha") == 40, F.col("sha")).otherwise(F.col("found"))).drop("found")
+    return known.join(one.select("sha", "found"), "sha", "left").withColumn("full", F.when(F.length("sha") == 40, F.col("sha")).otherwise(F.col("found"))).drop("found")
+
+
+def mainline_tip(refs: DataFrame) -> DataFrame:
+    """(sha) of the first of MAINLINE that refs (ref, sha) has; no row if it has none."""
+    order = F.array_position(F.array(*[F.lit(r) for r in MAINLINE]), F.col("ref"))
+    return refs.where(F.col("ref").isin(*MAINLINE)).agg(F.min_by("sha", order).alias("sha")).where("sha is not null")
+
+
+def ancestors(tips: DataFrame, parents: DataFrame) -> DataFrame:
+    """(sha) of all commits that the tips reach, themselves included.
+
+    Along first parents history is a forest, which pointers that double climb in as many steps as the logarithm of its
+    height; other parents start new climbs. So rounds grow with how deep merges nest, not with the length of history.
+    """
+    first = cut(parents.groupBy("sha").agg(F.min("parent").alias("to")))
+    jumps = [first]
+    while True:
+        last = jumps[-1]
+        more = cut(last.join(last.select(F.col("sha").alias("to"), F.col("to").alias("further")), "to").select("sha", F.col("further").alias("to")))
+        if more.isEmpty():
+            discard(more)
+            break
+        jumps.append(more)
+    rest = parents.join(first.withColumnRenamed("to", "parent"), ["sha", "parent"], "left_anti")
+    marked = cut(tips.select("sha").distinct())
+    fresh = marked
+    while not fresh.isEmpty():
+        reached = fresh
+        for jump in reversed(jumps):
+            reached = cut(reached.unionByName(reached.join(jump, "sha").select(F.col("to").alias("sha"))).distinct())
+        before, marked = marked, cut(marked.unionByName(reached).distinct())
+        fresh = cut(rest.join(reached, "sha").select(F.col("parent").alias("sha")).distinct().join(marked, "sha", "left_anti"))
+        marked, before = cut(marked.unionByName(fresh).distinct()), marked
+        discard(before)
+    discard(*jumps)
+    return marked
 
 
 def merge(base: DataFrame, override: DataFrame, fields: list[str], key: str = "cve") -> DataFrame:
@@ -36,72 +84,111 @@ def _contracted(sets: DataFrame, parents: DataFrame) -> DataFrame:
     wanted = sets.select("sha").distinct()
     edges = parents.select("sha", "parent").distinct()
     single = edges.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("to")).where("n = 1").join(wanted, "sha", "left_anti")
-    line, open_before = _cut(single.select("sha", "to")), None
+    line, open_before = cut(single.select("sha", "to")), None
     while True:
         ahead = line.select(F.col("sha").alias("to"), F.col("to").alias("further"))
         open_now = line.join(ahead, "to", "left_semi").count()
         if open_now in (0, open_before):  # as many as before: only a circle is left, which holds no candidate
             break
-        line, open_before = _cut(line.join(ahead, "to", "left").select("sha", F.coalesce("further", "to").alias("to"))), open_now
+        before, line, open_before = line, cut(line.join(ahead, "to", "left").select("sha", F.coalesce("further", "to").alias("to"))), open_now
+        discard(before)
     ends = line.select(F.col("sha").alias("parent"), "to")
-    return _cut(edges.join(line, "sha", "left_anti").join(ends, "parent", "left").select("sha", F.coalesce("to", "parent").alias("parent")).distinct())
+    out = cut(edges.join(line, "sha", "left_anti").join(ends, "parent", "left").select("sha", F.coalesce("to", "parent").alias("parent")).distinct())
+    discard(line)
+    return out
 
 
 def extremum(candidates: DataFrame, parents: DataFrame, latest: bool) -> DataFrame:
     """(cve, sha) of the one candidate that reaches all others of its cve (latest), or that all reach.
 
     Only the candidates' own ancestors are followed, one merge or candidate a round, until every frontier is empty.
+    A cve with one candidate needs no history.
     """
-    sets = _cut(candidates.distinct())
-    parents = _contracted(sets, parents)
-    reach = sets.select("cve", F.col("sha").alias("top"), F.col("sha").alias("at"))
-    seen = frontier = reach
+    sets = cut(candidates.distinct())
+    total = sets.groupBy("cve").agg(F.count(F.lit(1)).alias("total"))
+    several = cut(sets.join(total.where("total > 1"), "cve").select("cve", "sha"))
+    alone = sets.join(total.where("total = 1"), "cve").select("cve", "sha")
+    if several.isEmpty():
+        return alone
+    edges = _contracted(several, parents)
+    seen = frontier = several.select("cve", F.col("sha").alias("top"), F.col("sha").alias("at"))
     while True:
-        step = frontier.join(parents, F.col("at") == F.col("sha")).select("cve", "top", F.col("parent").alias("at")).distinct()
-        frontier = _cut(step.join(seen, ["cve", "top", "at"], "left_anti"))
+        step = frontier.join(edges, F.col("at") == F.col("sha")).select("cve", "top", F.col("parent").alias("at")).distinct()
+        frontier = cut(step.join(seen, ["cve", "top", "at"], "left_anti"))
         if frontier.isEmpty():
             break
-        seen = _cut(seen.unionByName(frontier))
-    pairs = seen.join(sets.withColumnRenamed("sha", "at"), ["cve", "at"])
+        seen = cut(seen.unionByName(frontier))
+    pairs = seen.join(several.withColumnRenamed("sha", "at"), ["cve", "at"])
     per = pairs.groupBy("cve", F.col("top" if latest else "at").alias("sha")).agg(F.countDistinct("at" if latest else "top").alias("n"))
-    total = sets.groupBy("cve").agg(F.count(F.lit(1)).alias("total"))
     best = per.join(total, "cve").where("n = total")
-    return best.groupBy("cve").agg(F.count(F.lit(1)).alias("k"), F.min("sha").alias("sha")).where("k = 1").select("cve", "sha")
+    one = best.groupBy("cve").agg(F.count(F.lit(1)).alias("k"), F.min("sha").alias("sha")).where("k = 1").select("cve", "sha")
+    return alone.unionByName(one)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Checkpointed, so that rounds don't pile up in the plan: in the session's folder for it, or else on the executors."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") else df.localCheckpoint()
+def select_commit(values: DataFrame, commits: DataFrame, parents: DataFrame, mainline: DataFrame, latest: bool) -> DataFrame:
+    """(cve, sha) of the one latest or earliest of each cve's ids (cve, sha) in mainline history (MD4)."""
+    known = resolve(values, commits).where("full is not null").select("cve", F.col("full").alias("sha"))
+    return extremum(known.join(mainline.select("sha"), "sha", "left_semi").select("cve", "sha"), parents, latest)
 
 
-def rejected(text: Column, prefixes: list[str], markers: list[str]) -> Column:
+def rejected(text: Column, prefixes: tuple[str, ...] = REJECTED_PREFIXES, markers: tuple[str, ...] = REJECTED_MARKERS) -> Column:
+    """Whether a note says that the vulnerability itself was rejected; case counts, no note is a no."""
     out = F.lit(False)
     for p in prefixes:
         out = out | text.startswith(p)
     for m in markers:
         out = out | text.contains(m)
-    return out
+    return F.coalesce(out, F.lit(False))
 
 
 def git_ranges(records: DataFrame) -> DataFrame:
     """(cve, version, less_than) of the affected git ranges that have an end; records: cve, affected array of versions."""
     versions = records.select("cve", F.explode("affected").alias("a")).select("cve", F.explode("a.versions").alias("v"))
-    return versions.where("v.versionType = 'git' and v.status = 'affected' and v.lessThan <> ''").select("cve", commit_id(F.col("v.version")).alias("version"), commit_id(F.col("v.lessThan")).alias("less_than"))
+    return versions.where("v.versionType = 'git' and v.status = 'affected' and v.lessThan <> ''").select("cve", F.col("v.version").alias("version"), F.col("v.lessThan").alias("less_than"))
+
+
+def cna_records(records: DataFrame, commits: DataFrame, parents: DataFrame, mainline: DataFrame | None = None) -> DataFrame:
+    """cve, fixes, breaks, rejected: the latest end, and the earliest start among the ranges that end there.
+
+    A record without a usable range is dropped, a rejected one too: its flag goes with it. A published and a rejected record of one cve are one, rejected.
+    """
+    mainline = commits if mainline is None else mainline
+    ranges = cut(git_ranges(records))
+    fixes = cut(select_commit(ranges.select("cve", F.col("less_than").alias("sha")), commits, parents, mainline, latest=True).withColumnRenamed("sha", "fixes"))
+    ends = resolve(ranges.withColumnRenamed("less_than", "sha"), commits)
+    starts = ends.join(fixes, (ends.cve == fixes.cve) & (ends.full == fixes.fixes)).select(ends.cve, F.col("version").alias("sha"))
+    breaks = select_commit(starts, commits, parents, mainline, latest=False).withColumnRenamed("sha", "breaks")
+    flags = records.groupBy("cve").agg(F.max("rejected").alias("rejected"))
+    return fixes.join(breaks, "cve", "left").join(flags, "cve", "left").select("cve", "fixes", "breaks", F.when(F.col("rejected"), F.lit(True)).alias("rejected"))
 
 
-def cna_records(records: DataFrame, commits: DataFrame, parents: DataFrame) -> DataFrame:
-    """cve, fixes, breaks: the latest end, and the earliest start among the ranges that end there."""
-    ranges = git_ranges(records)
-    mainline = commits.select(F.col("sha"))
-    ends = ranges.select("cve", F.col("less_than").alias("sha")).join(mainline, "sha", "left_semi")
-    fixes = extremum(ends.select("cve", "sha"), parents, latest=True).withColumnRenamed("sha", "fixes")
-    starts = ranges.join(fixes, (ranges.cve == fixes.cve) & (ranges.less_than == fixes.fixes)).select(ranges.cve, F.col("version").alias("sha")).join(mainline, "sha", "left_semi")
-    breaks = extremum(starts.select("cve", "sha"), parents, latest=False).withColumnRenamed("sha", "breaks")
-    return fixes.join(breaks, "cve", "left")
+def cip_records(issues: DataFrame, commits: DataFrame, parents: DataFrame, mainline: DataFrame | None = None) -> DataFrame:
+    """cve, fixes, breaks, rejected of issues (cve, fixed_by, introduced_by arrays, note): latest fix, earliest introduction; empty records are dropped."""
+    mainline = commits if mainline is None else mainline
+    side = lambda name, latest: select_commit(issues.select("cve", F.explode(name).alias("sha")), commits, parents, mainline, latest)
+    out = issues.select("cve", F.when(rejected(F.col("note")), F.lit(True)).alias("rejected")).join(side("fixed_by", True).withColumnRenamed("sha", "fixes"), "cve", "left").join(side("introduced_by", False).withColumnRenamed("sha", "breaks"), "cve", "left")
+    return out.where("fixes is not null or breaks is not null or rejected").select("cve", *FIELDS)
+
+
+def merge_sources(cip: DataFrame, cna: DataFrame) -> DataFrame:
+    """Both sources' records; what the numbering authority says overrides, field by field."""
+    return merge(cip, cna, list(FIELDS))
+
+
+def drop_empty(rows: DataFrame, *kept: str) -> DataFrame:
+    """NULL for what is empty: blank texts, zeros, false; ``kept`` columns stay as they are."""
+    empty = {"string": "", "boolean": False, "double": 0.0, "float": 0.0} | dict.fromkeys(("tinyint", "smallint", "int", "bigint"), 0)
+    return rows.select(*[F.nullif(F.col(c), F.lit(empty[t]).cast(t)).alias(c) if t in empty and c not in kept else F.col(c) for c, t in rows.dtypes])
 
 
 def enrich(records: DataFrame, commits: DataFrame, exploited: DataFrame) -> DataFrame:
     """Add the fix's date and subject, and the exploited flag; what is false or empty becomes NULL."""
-    of = commits.select(F.col("sha").alias("fixes"), F.col("committed_at").alias("fix_date"), F.nullif("subject", F.lit("")).alias("cmt_msg"))
+    of = commits.select(F.col("sha").alias("fixes"), F.col("committed_at").alias("fix_date"), F.trim("subject").alias("cmt_msg"))
     flagged = exploited.select("cve").distinct().withColumn("exploit", F.lit(True))
-    return records.join(of, "fixes", "left").join(flagged, "cve", "left")
+    return drop_empty(records.join(of, "fixes", "left").join(flagged, "cve", "left"), "cve")
+
+
+def source_counts(**sources: DataFrame) -> DataFrame:
+    """(source, n): how many vulnerabilities each source tells of."""
+    out = [df.agg(F.countDistinct("cve").alias("n")).select(F.lit(name).alias("source"), "n") for name, df in sources.items()]
+    return out[0] if len(out) == 1 else out[0].unionByName(source_counts(**dict(list(sources.items())[1:])))

@@ -1,4 +1,4 @@
-"""Which rules to run: predicates over a rule pack before anything is scanned (FLT1-8, JN6-7).
+"""Which rules to run: predicates over a rule pack before anything is scanned (FLT1-6, FLT8, JN6-7, SET2).
 
 rules: rule_id, grp ('assigned' or 'disputed'), files array<string>, min_version string.
 """
@@ -46,6 +46,11 @@ def excluding(rules: DataFrame, ids: list[str]) -> DataFrame:
     return rules.join(rules.sparkSession.createDataFrame([(normalise_id(i),) for i in ids], "rule_id string"), "rule_id", "left_anti")
 
 
+def without(rules: DataFrame, excluded: DataFrame) -> DataFrame:
+    """Without the rules of a table of ids."""
+    return rules.join(excluded.select("rule_id").distinct(), "rule_id", "left_anti")
+
+
 def exploited(rules: DataFrame, metadata: DataFrame) -> DataFrame:
     """Rules whose record says so; no record or no flag is a no."""
     return rules.join(metadata.where(F.coalesce("exploit", F.lit(False))).select("rule_id"), "rule_id", "left_semi")
@@ -82,9 +87,11 @@ def unsupported(rules: DataFrame, engine: str) -> DataFrame:
     return rules.where(version_array(F.col("min_version")) > version_array(F.lit(engine)))
 
 
-def check_options(all_files: bool, files: list[str] | None, ignore_files: list[str] | None) -> None:
-    if all_files and (files or ignore_files):
-        raise ValueError("all files can't be combined with a choice of files")
-    for p in [*(files or []), *(ignore_files or [])]:
-        if not re.fullmatch(r"[\w./+-]+", p):
+_PATH = re.compile(r"[_a-zA-Z-./0-9]+")
+
+
+def check_paths(paths: list[str]) -> None:
+    """ValueError for what is no path to choose rules by."""
+    for p in paths:
+        if not _PATH.fullmatch(p):
             raise ValueError(f"not a path: {p!r}")

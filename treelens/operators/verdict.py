@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,9 +31,10 @@ def file_verdicts(findings: DataFrame, build_map: DataFrame, srcarch: str, confi
     foreign = F.col("path").startswith("arch/") & ~F.col("path").startswith(f"arch/{srcarch}/")
     met = met.withColumn("foreign", foreign)
 
-    @F.udf(_JUDGED)
-    def judge(raw, is_foreign):
-        return condition.evaluate(raw, "arch/-/x" if is_foreign else "x", srcarch, config)
+    @F.pandas_udf(_JUDGED)
+    def judge(raw: pd.Series, is_foreign: pd.Series) -> pd.DataFrame:
+        told = [condition.evaluate(x if isinstance(x, str) else None, "arch/-/x" if f else "x", srcarch, config) for x, f in zip(raw, is_foreign, strict=True)]
+        return pd.DataFrame(told, columns=["logic", "affected"], dtype=object)
 
     told = met.select(F.col("raw").alias("t_raw"), F.col("foreign").alias("t_foreign")).distinct().withColumn("j", judge("t_raw", "t_foreign"))
     out = met.join(told, F.col("raw").eqNullSafe(F.col("t_raw")) & (F.col("foreign") == F.col("t_foreign")))

@@ -1,4 +1,4 @@
-"""Scan options from an INI file without sections, and which options exclude each other (SRC10, FLT7)."""
+"""Scan options from an INI file without sections, and which options exclude each other (SRC10, FLT7, PRJ4, SET1)."""
 
 from __future__ import annotations
 
@@ -16,6 +16,8 @@ def _switch(value: str) -> bool:
     return word in ON
 
 
+#: Names of the options.
+NAMES = ("kernel", "cve", "exclude", "exploit", "verbose", "files", "ignore_files", "kernel_config", "check_strict", "report", "all_files", "metadata", "arch")
 KINDS: dict[str, Callable[[str], object]] = {"verbose": int}
 KINDS |= dict.fromkeys(("cve", "exclude", "files", "ignore_files"), str.split) | dict.fromkeys(("check_strict", "all_files", "exploit"), _switch)
 
@@ -33,7 +35,22 @@ def parse(text: str) -> dict[str, object]:
     return out
 
 
+def layers(*texts: str) -> dict[str, object]:
+    """Options of several files, later ones overriding; ValueError for names that there aren't (SET1, SET2)."""
+    out: dict[str, object] = {}
+    for text in texts:
+        out |= parse(text)
+    if unknown := sorted(set(out) - set(NAMES)):
+        raise ValueError(f"unknown options: {', '.join(unknown)}")
+    return out
+
+
+def merged(layered: Mapping[str, object], given: Mapping[str, object], defaults: Mapping[str, object]) -> dict[str, object]:
+    """Given options override the files' ones unless they are the defaults (PRJ4)."""
+    return dict(layered) | {name: value for name, value in given.items() if value != defaults.get(name) or name not in layered}
+
+
 def check(options: Mapping[str, object]) -> None:
-    """Scanning all files leaves nothing for choosing rules by their files to do."""
+    """Scanning all files leaves nothing for choosing rules by their files to do (FLT7)."""
     if options.get("all_files") and (clash := [n for n in ("files", "ignore_files") if options.get(n)]):
         raise ValueError(f"all_files can't be used with {', '.join(clash)}")
