@@ -47,6 +47,10 @@ CONFIG = {"CONFIG_A": True, "CONFIG_B": False}
         ("CONFIG_MISSING", "x.c", ("CONFIG_MISSING", False)),
         ("~CONFIG_B", "x.c", ("~CONFIG_B", True)),
         ("CONFIG_A | ~CONFIG_A", "x.c", ("True", True)),
+        (None, "arch/arm/x.c", ("False", False)),
+        ("CONFIG_B | CONFIG_ABSENT", "x.c", ("CONFIG_ABSENT | CONFIG_B", False)),
+        ("CONFIG_A | CONFIG_B", "x.c", ("CONFIG_A | CONFIG_B", True)),
+        ("CONFIG_A & CONFIG_ABSENT", "x.c", ("CONFIG_A & CONFIG_ABSENT", False)),
     ],
 )
 def test_conditions(logic, path, want):
@@ -97,7 +101,9 @@ def test_structural_disjunctions_scripts_and_all_matches():
     assert structural.matches(structural.parse(once + script.format("err", "")), text) == [4, 6]
     other = "\n@two@\nposition q;\n@@\nmissing()@q;\n"
     assert structural.matches(structural.parse(once + other + script.format("err", "q << two.q;\n")), text) == []
-    for bad in (once + script.format("err", "").replace("coccilib", "if p[0].current_element == 'f': coccilib"), body.replace("\n)\n", "\n"), body.replace("(\nlock", "lock"), body.replace("position p;", "position p : script:python() { p[0].current_element == 'f' };")):
+    inside = once.replace("f(...)", "\\(f\\|g\\)(...)") + script.format("err", "").replace("coccilib", "if p[0].current_element in ('g', 'h'):\n    coccilib")
+    assert structural.matches(structural.parse(inside), text) == [11]
+    for bad in (once + script.format("err", "").replace("coccilib", "if len(p) > 1: coccilib"), body.replace("\n)\n", "\n"), body.replace("(\nlock", "lock"), body.replace("position p;", "position p : script:python() { p[0].current_element == 'f' };")):
         with pytest.raises(structural.UnsupportedRule):
             structural.parse(bad)
 
@@ -154,3 +160,75 @@ def test_extremum_far_apart(spark):
     candidates = spark.createDataFrame([("X", "n1"), ("X", "n1400"), ("Y", "n1"), ("Y", "n800"), ("Y", "s1"), ("Z", "z"), ("Z", "n1"), ("Z", "n1300")], "cve string, sha string")
     assert sorted(tuple(r) for r in metadata.extremum(candidates, parents, latest=True).collect()) == [("X", "n1"), ("Y", "n1")]
     assert sorted(tuple(r) for r in metadata.extremum(candidates, parents, latest=False).collect()) == [("X", "n1400"), ("Z", "n1300")]
+
+
+def test_long_conditions_stay_short():
+    """Beyond eight symbols nothing is expanded, and the verdict is that of the formula."""
+    text = " & ".join(f"(C{i} | A{i} | B{i} | C{i})" for i in range(30))
+    logic, affected = condition.evaluate(text, "x.c", "x86", {f"B{i}": True for i in range(30)})
+    assert logic == " & ".join(sorted(f"(A{i} | B{i} | C{i})" for i in range(30))) and affected is True
+    assert condition.evaluate(text, "x.c", "x86", {f"B{i}": True for i in range(29)})[1] is False
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        "@r@\n@@\nf(...)\n{\n... when exists\ng();\n}\n",
+        "@r@\n@@\nf(...)\n{\n... when forall\ng();\n}\n",
+        "@r@\n@@\nif (<+... x ...+>) S\n",
+        "@initialize:python@\n@@\nx = 1\n\n@r@\n@@\ng();\n",
+        "@r@\nexpression list E;\n@@\ng(E);\n",
+        "@r@\nidentifier x =~ \"^a\";\n@@\nx();\n",
+        "@r extends s@\n@@\ng();\n",
+        "@r@\nidentifier s.x;\n@@\nx();\n",
+        "@r@\n@@\n#define F(...) x\n",
+        "no rule",
+    ],
+)
+def test_what_the_matcher_refuses(spark, body):
+    with pytest.raises(structural.UnsupportedRule):
+        structural.parse(body)
+    rules = spark.createDataFrame([("BAD", body, ["a.c"]), ("GOOD", "@r@\n@@\n* g();\n", ["a.c"])], "rule_id string, body string, files array<string>")
+    assert [(r.rule_id, r.reason is None) for r in structural.judged(rules).orderBy("rule_id").collect()] == [("BAD", False), ("GOOD", True)]
+    files = spark.createDataFrame([("a.c", "void f(void)\n{\n\tg();\n}\n")], "path string, content string")
+    for all_files in (False, True):
+        assert [tuple(r) for r in structural.scan(files, rules, all_files).collect()] == [("GOOD", "a.c", 3)]
+
+
+def test_ancestors_through_merges(spark):
+    """A long line with side branches, some of them merged twice, and commits that the tip doesn't reach."""
+    edges = [(f"m{i}", f"m{i + 1}") for i in range(300)] + [("m10", "s0"), ("s0", "s1"), ("s1", "t0"), ("t0", "m200"), ("s1", "m40"), ("x", "m5"), ("y", "x")]
+    parents = spark.createDataFrame(edges, "sha string, parent string")
+    got = {r.sha for r in metadata.ancestors(spark.createDataFrame([("m0",)], "sha string"), parents).collect()}
+    assert got == {f"m{i}" for i in range(301)} | {"s0", "s1", "t0"}
+    refs = spark.createDataFrame([("HEAD", "h"), ("refs/heads/master", "m0"), ("refs/heads/other", "x")], "ref string, sha string")
+    assert [r.sha for r in metadata.mainline_tip(refs).collect()] == ["m0"] and metadata.mainline_tip(refs.where("sha = 'x'")).count() == 0
+
+
+def test_rejected_records_without_ranges_are_dropped(spark):
+    rows = [("/v/cve/rejected/2020/CVE-2020-0001.json", '{"containers":{"cna":{}}}'), ("/v/cve/published/2020/CVE-2020-0002.json", '{"cveMetadata":{"cveId":"CVE-2020-0002","cveID":"other"},"containers":{"cna":{"affected":[{"versions":[{"versionType":"git","status":"affected","version":"0","lessThan":"' + "a" * 40 + '"}]}]}}}')]
+    records = sources.advisories_of(spark.createDataFrame(rows, "path string, content string"))
+    assert sorted((r.cve, r.rejected) for r in records.collect()) == [("CVE-2020-0001", True), ("CVE-2020-0002", False)]
+    commits = spark.createDataFrame([("a" * 40, 1, "s")], "sha string, committed_at long, subject string")
+    parents = spark.createDataFrame([], "sha string, parent string")
+    assert [tuple(r) for r in metadata.cna_records(records, commits, parents).collect()] == [("CVE-2020-0002", "a" * 40, None, None)]
+
+
+def test_readers_of_single_files(spark, tmp_path):
+    (tmp_path / "ids").write_text("# a list\n2020-0001\nCVE-2020-00002\n")
+    assert [r.rule_id for r in sources.exclude_list(spark, str(tmp_path / "ids")).collect()] == ["CVE-2020-0001", "CVE-2020-00002"]
+    (tmp_path / "bad").write_text("nonsense\n")
+    with pytest.raises(ValueError, match="nonsense"):
+        sources.exclude_list(spark, str(tmp_path / "bad"))
+    (tmp_path / "issues").mkdir()
+    (tmp_path / "issues/CVE-2020-0003.yml").write_text("fixed-by:\n  mainline: [abc]\nintroduced-by: never\nignore:\n  all: Not a kernel thing\n")
+    assert [tuple(r) for r in sources.issues(spark, str(tmp_path / "issues")).collect()] == [("CVE-2020-0003", ["abc"], [], "Not a kernel thing")]
+    (tmp_path / "v/cve/published").mkdir(parents=True)
+    (tmp_path / "v/cve/published/CVE-2020-0004.json").write_text('{"cveMetadata":{"cveId":"CVE-2020-0004"},"containers":{"cna":{"affected":[]}}}')
+    assert [(r.cve, r.rejected) for r in sources.advisories(spark, str(tmp_path / "v")).collect()] == [("CVE-2020-0004", False)]
+    (tmp_path / "kev.json").write_text('{"vulnerabilities":[{"cveID":"CVE-1"},{"cveID":"CVE-1"}]}')
+    assert [r.cve for r in sources.exploited(spark, str(tmp_path / "kev.json")).collect()] == ["CVE-1"]
+    (tmp_path / "log").write_text("\t".join(["b" * 40, "a" * 40 + " " + "c" * 40, "7", "a\ttab"]) + "\n" + "\t".join(["a" * 40, "", "6", "first"]) + "\n")
+    commits, parents = sources.history(spark, str(tmp_path / "log"))
+    assert sorted(tuple(r) for r in commits.collect()) == [("a" * 40, 6, "first"), ("b" * 40, 7, "a\ttab")]
+    assert sorted(tuple(r) for r in parents.collect()) == [("b" * 40, "a" * 40, 0), ("b" * 40, "c" * 40, 1)]

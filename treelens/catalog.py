@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treelens.plans import analogues, scan
+from treelens.plans import analogues, buildmap_queries, scan, structural_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (scan, analogues)
+MODULES = (scan, analogues, buildmap_queries, structural_queries)
 
 
 def queries() -> dict[str, Query]:

@@ -53,6 +53,12 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
+def _at_hand(path: str) -> None:
+    """Neither trees nor rules nor metadata are cloned or downloaded (SRC16-17)."""
+    if path.split("://")[0] in ("http", "https", "git", "ssh"):
+        raise Refused(f"{path} isn't fetched: get a copy and name its folder")
+
+
 def _options(spark: SparkSession, args: argparse.Namespace, defaults: dict) -> dict:
     """The options of the command line and of the files, checked (FLT7, KB3's needs, SET2)."""
     places = [args.config] if args.config else ["/etc/treelens.ini", *([str(Path(os.environ["HOME"]) / ".config/treelens.ini")] if "HOME" in os.environ else [])]
@@ -62,8 +68,7 @@ def _options(spark: SparkSession, args: argparse.Namespace, defaults: dict) -> d
     out = options.merged(options.layers(*[Path(p).read_text() for p in places if os.path.isfile(p)]), given, defaults)
     if not out["kernel"]:
         raise Refused("which tree? --kernel is required")
-    if "://" in str(out["kernel"]) and str(out["kernel"]).split("://")[0] in ("http", "https", "git", "ssh"):
-        raise Refused("trees aren't fetched: check one out and name its folder")
+    _at_hand(out["kernel"])
     if out["metadata"] and (not exists(spark, out["metadata"]) or not out["metadata"].endswith(".gz")):
         raise Refused(f"{out['metadata']} is no gzipped metadata")
     if not exists(spark, f"{out['kernel']}/Makefile"):
@@ -122,6 +127,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     try:
         if not args.rules:
             raise Refused("which rules? name a pack by --rules or TREELENS_RULES")
+        _at_hand(args.rules)
         spark = spark or local_session()
         if not exists(spark, args.rules, folder=True):
             raise Refused(f"no rules in {args.rules}")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +45,8 @@ def usable(patterns: DataFrame) -> tuple[list[tuple[str, int, str]], list[tuple[
             good.append((r.rule_id, r.pat_id, r.pattern))
         except UnsupportedPattern as wrong:
             bad.append((r.rule_id, r.pat_id, str(wrong)))
-        except Py4JJavaError as wrong:
-            bad.append((r.rule_id, r.pat_id, str(wrong.java_exception.getMessage()).split("\n")[0]))
+        except (Py4JJavaError, PySparkException) as wrong:
+            bad.append((r.rule_id, r.pat_id, str(wrong).split("\n")[0]))
     return good, bad
 
 

@@ -425,9 +425,9 @@ def scan(files: DataFrame, rules: DataFrame, all_files: bool = False) -> DataFra
         for batch in batches:
             rows = []
             for r in batch.itertuples():
-                if not pack and r.rule_id not in parsed:
+                if not all_files and r.rule_id not in parsed:
                     parsed[r.rule_id] = parse(r.body)
-                for rule_id in parsed if pack else (r.rule_id,):
+                for rule_id in parsed if all_files else (r.rule_id,):
                     rows += [(rule_id, r.path, line) for line in matches(parsed[rule_id], r.content or "")]
             yield pd.DataFrame(rows, columns=["rule_id", "path", "line"])
 

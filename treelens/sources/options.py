@@ -54,3 +54,14 @@ def check(options: Mapping[str, object]) -> None:
     """Scanning all files leaves nothing for choosing rules by their files to do (FLT7)."""
     if options.get("all_files") and (clash := [n for n in ("files", "ignore_files") if options.get(n)]):
         raise ValueError(f"all_files can't be used with {', '.join(clash)}")
+
+
+def layered(files):
+    """(path, name, value) of options files (path, layer, content): for each path the layers in order, later ones overriding; values as text."""
+    import pandas as pd
+
+    def of_path(rows: pd.DataFrame) -> pd.DataFrame:
+        found = layers(*rows.sort_values("layer")["content"])
+        return pd.DataFrame([(rows["path"].iloc[0], name, " ".join(v) if isinstance(v, list) else str(v)) for name, v in found.items()], columns=["path", "name", "value"])
+
+    return files.groupBy("path").applyInPandas(of_path, "path string, name string, value string")

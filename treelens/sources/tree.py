@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelens.tables import exists
+from treelens.tables import exists, read_text
 
 METADATA = "map<string,struct<fixes:string,breaks:string,fix_date:bigint,cmt_msg:string,rejected:boolean,exploit:boolean>>"
 _CNA = "struct<affected:array<struct<versions:array<struct<versionType:string,status:string,version:string,lessThan:string>>>>>"
@@ -83,7 +83,7 @@ def patterns(rules_: DataFrame) -> DataFrame:
 
 
 def _text(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.lit(path).alias("path"), F.col("value").alias("content"))
+    return spark.createDataFrame([(path, read_text(spark, path))], "path string, content string")
 
 
 def config(spark: SparkSession, path: str) -> DataFrame:

@@ -61,6 +61,16 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """One small file, also of a name that Spark's readers pass over because it starts with a dot."""
+    there, system = _hadoop_path(spark, path)
+    stream = system.open(there)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def exists(spark: SparkSession, path: str, folder: bool = False) -> bool:
     """Whether there is a file, or a folder, in any store that Spark reads."""
     there, system = _hadoop_path(spark, path)
