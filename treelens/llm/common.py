@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treelens.tables import discard, scratch, shared_dir  # noqa: F401  used by the operators
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -21,7 +20,6 @@ GAP = r"[\x20\x09-\x0D]+"
 ROWS_EACH, TEXT = 50_000, 10
 #: Settings while a table is written.
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "20000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
-_own_folder: list[str] = []
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -37,31 +35,6 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"c{at[name]}").alias(name) for name in names])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session gets one made up."""
-    if base := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-        return base.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="treelens-"))
-    return _own_folder[0]
-
-
-def _hadoop_path(spark: SparkSession, path: str):
-    """The path in Hadoop's terms, and its file system."""
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return there, there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new place in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    there, system = _hadoop_path(spark, path)
-    system.deleteOnExit(there)
-    return path
-
-
 def cut(df: DataFrame, what: str = "table", rows: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: what follows neither recomputes it nor needs the executors that made it.
 
@@ -84,13 +57,6 @@ def cut(df: DataFrame, what: str = "table", rows: int | None = None) -> DataFram
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Remove tables that cut() wrote and that nothing will read again: what was made of them is written itself."""
-    for table in tables:
-        there, system = _hadoop_path(table.sparkSession, table._cut_at)
-        system.delete(there, True)
-
-
 @functools.cache
 def _trim():
     try:
